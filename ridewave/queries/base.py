@@ -107,6 +107,25 @@ class Tables:
         return grid.join(self.order_hours, ["route", "date", "hour"], "left").withColumn(
             "boardings", F.coalesce("boardings", F.lit(0)).cast("bigint"))
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Scored hourly points with baseline, interval, capacity and fold."""
+        g = self.validations.groupBy("route", "direction", F.col("stop_no").alias("stop"), "date", "hour").agg(
+            F.count(F.lit(1)).cast("double").alias("actual"), F.min("event_id").alias("lo"),
+            F.max("event_id").alias("hi"), F.max("k").alias("k"))
+        p = (F.col("lo") % 4).cast("double")
+        return g.select(
+            F.lit("day").alias("horizon"), F.concat(F.lit("w"), F.weekofyear("date").cast("string")).alias("fold"),
+            "route", "direction", "stop", "date", "hour", "actual", p.alias("predicted"),
+            F.when(F.col("stop") != 3, (F.col("hi") % 5).cast("double")).alias("baseline"),
+            F.when(F.col("route") != "view", F.greatest(p - 1, F.lit(0.0))).alias("lower"),
+            F.when(F.col("route") != "view", p + 1).alias("upper"),
+            F.when(F.col("route") != "view", F.lit(0.8)).alias("level"),
+            F.when(F.col("route") != "view", F.lit("quantile")).alias("method"),
+            F.when(F.col("route").isin("click", "error"), F.lit(1.0)).alias("capacity"),
+            F.when(F.col("route") != "error", "onboard_load").otherwise("boarding_count").alias("target"),
+            F.when(F.col("date") == F.lit(date(2024, 1, 13)), "match").alias("event"))
+
     @cached_property
     def trips(self) -> DataFrame:
         """Timetable trips: one per order, run by a duty on one of thirty service days."""
@@ -204,6 +223,14 @@ BASES = {
                     max(CAST(o_orderdate AS DATE)),INTERVAL 1 DAY)) AS DATE) AS date FROM orders) d
         CROSS JOIN (SELECT CAST(range AS INT) AS hour FROM range(24)) h
         LEFT JOIN order_hours x ON x.route=r.route AND x.date=d.date AND x.hour=h.hour"""),
+    "scored": ("validations", """SELECT 'day' AS horizon, 'w' || CAST(weekofyear(date) AS VARCHAR) AS fold, route, direction, stop, date, hour, actual,
+        (lo % 4)::DOUBLE AS predicted, CASE WHEN stop<>3 THEN (hi % 5)::DOUBLE END AS baseline,
+        CASE WHEN route<>'view' THEN greatest((lo%4)::DOUBLE-1,0) END AS lower, CASE WHEN route<>'view' THEN (lo%4)::DOUBLE+1 END AS upper,
+        CASE WHEN route<>'view' THEN 0.8::DOUBLE END AS level, CASE WHEN route<>'view' THEN 'quantile' END AS method,
+        CASE WHEN route IN ('click','error') THEN 1.0::DOUBLE END AS capacity,
+        CASE WHEN route<>'error' THEN 'onboard_load' ELSE 'boarding_count' END AS target,
+        CASE WHEN date=DATE '2024-01-13' THEN 'match' END AS event FROM
+        (SELECT route, direction, stop_no AS stop, date, hour, count(*)::DOUBLE AS actual, min(event_id) AS lo, max(event_id) AS hi FROM validations GROUP BY ALL)"""),
     "trips": ("", """SELECT o_orderkey AS trip_id, o_custkey//10 AS duty, o_orderpriority AS route,
         DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT) AS service_day,
         o_orderkey*7919 % 50000 + 14400 AS start_sec, CAST(o_orderkey % 2 AS INT) AS direction FROM orders"""),
@@ -250,6 +277,8 @@ def compose(body: str, uses: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{n} AS ({BASES[n][1]})" for n in ordered)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
