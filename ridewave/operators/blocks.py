@@ -138,3 +138,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
         F.count(F.lit(1)).alias("_freq"))
     return counted.groupBy(*keys).agg(
         *[F.percentile(value, F.lit(q), F.col("_freq")).alias(n) for n, q in quantiles.items()], *extra)
+
+
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], second: str, value: str, name: str,
+               block_seconds: int = 86400) -> DataFrame:
+    """Last non-NULL ``value`` up to each row per key, carried across blocks."""
+    blocked = with_block(df, second, block_seconds)
+    inner = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocked.withColumn("_seen", F.last(value, ignorenulls=True).over(inner))
+    position = F.struct(*[F.col(o) for o in order])
+    tails = blocked.groupBy(*keys, BLOCK).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), position)).alias("_tail"))
+    back = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(back)).drop("_tail")
+    return rows.join(carry, [*keys, BLOCK], "left").select(
+        *df.columns, F.coalesce("_seen", "_carry").alias(name))
