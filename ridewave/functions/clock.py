@@ -62,7 +62,7 @@ def step(start: Column, granularity: str, steps: Column | int) -> Column:
 
 
 def clock_seconds(text: Column) -> Column:
-    """Service-day clock ``H:MM:SS`` (hours up to 48) to seconds; NULL when malformed."""
+    """Service-day clock ``H:MM:SS`` (hours below 72) to seconds; NULL when malformed."""
     parts = F.split(text, ":")
     value = (
         F.get(parts, F.lit(0)).try_cast("int") * 3600
@@ -70,7 +70,7 @@ def clock_seconds(text: Column) -> Column:
         + F.get(parts, F.lit(2)).try_cast("int")
     )
     shaped = text.rlike(r"^\d{1,2}:[0-5]\d:[0-5]\d$")
-    return F.when(shaped & (value <= 48 * 3600), value)
+    return F.when(shaped & (value < 72 * 3600), value)
 
 
 def normalize_timestamp(text: Column, zone: str = "Europe/Moscow", fmt: str | None = None,

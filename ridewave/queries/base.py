@@ -142,7 +142,7 @@ class Tables:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         run = F.col("l_quantity").cast("bigint") * 20 + 60
         lines = self.lineitem.select(
-            F.col("l_orderkey").alias("trip_id"), (F.row_number().over(w) - 1).alias("seq"),
+            F.col("l_orderkey").alias("trip_id"), (F.row_number().over(w) - 1).cast("bigint").alias("seq"),
             F.col("l_suppkey").alias("stop_id"), F.sum(run).over(w).alias("_elapsed"))
         return lines.join(self.trips, "trip_id").select(
             "trip_id", "duty", "route", "direction", "service_day", "seq", "stop_id",
@@ -178,7 +178,7 @@ class Tables:
     def lineitem_steps(self) -> DataFrame:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
         return self.lineitem.select(
-            F.col("l_orderkey").alias("trip_id"), (F.row_number().over(w) - 1).alias("seq"),
+            F.col("l_orderkey").alias("trip_id"), (F.row_number().over(w) - 1).cast("bigint").alias("seq"),
             F.col("l_suppkey").alias("stop_id"), F.col("l_quantity").alias("qty"),
             F.col("l_returnflag").alias("route"))
 
