@@ -346,11 +346,12 @@ def _(t):
     return G.schedule_coverage(t.trip_spans)
 
 
-@query("cycle_times", "A39", """WITH s AS (SELECT *, lead(first_clock) OVER w AS f1, lead(last_clock) OVER w AS l1, lead(direction) OVER w AS d1, lead(first_clock,2) OVER w AS f2, lead(direction,2) OVER w AS d2 FROM trip_spans WINDOW w AS (PARTITION BY duty % 6, service_day, route ORDER BY first_clock, trip_id)),
+@query("cycle_times", "A39", """WITH ts AS (SELECT * REPLACE ((trip_id//30) % 2 AS direction) FROM trip_spans), s AS (SELECT *, lead(first_clock) OVER w AS f1, lead(last_clock) OVER w AS l1, lead(direction) OVER w AS d1, lead(first_clock,2) OVER w AS f2, lead(direction,2) OVER w AS d2 FROM ts WINDOW w AS (PARTITION BY duty % 6, service_day, route ORDER BY first_clock, trip_id)),
  cy AS (SELECT route, (f2-first_clock)/60.0::DOUBLE AS m FROM s WHERE direction<>d1 AND direction=d2 AND f1-last_clock BETWEEN 0 AND 7200 AND f2-l1 BETWEEN 0 AND 7200 AND (f2-first_clock)/60.0 BETWEEN 20 AND 240)
 SELECT route, round(median(m),6) AS median, round(list_sort(list(m))[CAST(floor((count(*)-1)*0.1) AS INT)+1],6) AS p10, round(list_sort(list(m))[CAST(floor((count(*)-1)*0.9) AS INT)+1],6) AS p90, count(*) AS cycles FROM cy GROUP BY ALL""", "trip_spans")
 def _(t):
-    return rounded_all(G.cycle_times(t.trip_spans.withColumn("duty", c("duty") % 6), layover=7200))
+    return rounded_all(G.cycle_times(
+        t.trip_spans.withColumn("duty", c("duty") % 6).withColumn("direction", F.floor(c("trip_id") / 30) % 2), layover=7200))
 
 
 @query("departure_histogram", "A40", """SELECT r.route, h.hour, coalesce(n,0) AS starts FROM (SELECT DISTINCT route FROM trips) r CROSS JOIN (SELECT CAST(range AS INT) AS hour FROM range(48)) h LEFT JOIN (SELECT route, CAST(first_clock//3600 AS INT) AS hour, count(*) AS n FROM trip_spans GROUP BY ALL) USING (route, hour)""", "trips trip_spans")
