@@ -12,7 +12,6 @@ from ridewave.functions.clock import bucket_start
 from ridewave.operators.blocks import previous_row
 from ridewave.operators.joins import require
 
-ONE = F.lit(1)
 
 
 def hourly_counts(events: DataFrame, route: str = "route", ts: str = "ts") -> DataFrame:
