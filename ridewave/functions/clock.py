@@ -7,7 +7,7 @@ session time zone for such columns, so results do not depend on where the job ru
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ MORNING_PEAK = (7, 8, 9)
 EVENING_PEAK = (17, 18, 19)
 
 
+def wall(value: datetime | Column) -> Column:
+    """A wall clock literal that means the same in every time zone."""
+    return F.lit(value.isoformat(" ")).cast("timestamp_ntz") if isinstance(value, datetime) else value
+
+
 def day_number(day: Column) -> Column:
     """Days since 1970-01-01 of a date or wall clock."""
     return F.datediff(day, F.lit(EPOCH))

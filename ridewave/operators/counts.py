@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.functions.clock import bucket_start
+from ridewave.functions.clock import bucket_start, wall
 from ridewave.operators.blocks import previous_row
 from ridewave.operators.joins import require
 
@@ -25,7 +23,7 @@ def available_dates(coverage: DataFrame, cutoff=None) -> DataFrame:
     """Covered dates with ``available``: published by the cutoff, or without a stamp."""
     if cutoff is None:
         return coverage.select("date", F.lit(True).alias("available"))
-    seen = F.col("published_at").isNull() | (F.col("published_at") <= F.lit(cutoff))
+    seen = F.col("published_at").isNull() | (F.col("published_at") <= wall(cutoff))
     return coverage.select("date", seen.alias("available"))
 
 

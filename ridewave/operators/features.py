@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.functions.clock import bucket_start, calendar_columns, step
+from ridewave.functions.clock import bucket_start, calendar_columns, step, wall
 from ridewave.operators.counts import available_dates, bucket_units
 
 
@@ -38,7 +38,7 @@ YEAR_MONTH = Policy("year/month", "monthly", "m", (1, 2, 3, 12), (3, 12), 12, 3)
 
 
 def _ended(bucket: Column, granularity: str, cutoff: datetime) -> Column:
-    return step(bucket, granularity, 1) <= F.lit(cutoff)
+    return step(bucket, granularity, 1) <= wall(cutoff)
 
 
 def look_back(targets: DataFrame, cells: DataFrame, coverage: DataFrame, entity: Sequence[str],
@@ -89,7 +89,7 @@ def rolling_features(entities: DataFrame, cells: DataFrame, coverage: DataFrame,
     Covered buckets are counted once from the calendar; cells with events add sum and max.
     """
     g = policy.granularity
-    anchor = step(bucket_start(F.lit(cutoff), g), g, -1)
+    anchor = step(bucket_start(wall(cutoff), g), g, -1)
     known = bucket_units(available_dates(coverage, cutoff), g)
     per_unit = 24 if g == "hourly" else 1
     starts = known.where("covered_units > 0").select(
@@ -122,7 +122,7 @@ def build_features(targets: DataFrame, cells: DataFrame, coverage: DataFrame, en
     from ridewave.functions.clock import wall_seconds
 
     calendar = calendar_columns(F.col("bucket"), policy.granularity)
-    start = F.lit(cutoff)
+    start = wall(cutoff)
     if policy.granularity == "hourly":
         index = ((wall_seconds(F.col("bucket")) - wall_seconds(start)) / 3600).cast("int")
     elif policy.granularity == "daily":
@@ -135,7 +135,7 @@ def build_features(targets: DataFrame, cells: DataFrame, coverage: DataFrame, en
     out = out.join(rolling_features(targets, cells, coverage, entity, policy, cutoff), list(entity), "left")
     if capacities is None:
         return out.withColumn("entity_capacity", F.lit(None).cast("double"))
-    known = capacities.where(F.col("available_at") <= F.lit(cutoff)).groupBy(*entity).agg(
+    known = capacities.where(F.col("available_at") <= wall(cutoff)).groupBy(*entity).agg(
         F.max_by("capacity", "available_at").cast("double").alias("entity_capacity"))
     return out.join(known, list(entity), "left")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.functions.clock import normalize_timestamp
+from ridewave.functions.clock import normalize_timestamp, wall
 
 # The event contract.
 IDENTIFIER_PATTERN = r"^[A-Za-z0-9_.:/-]+$"
@@ -191,14 +191,14 @@ def quarantine_reasons(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def visible_at(df: DataFrame, cutoff) -> DataFrame:
     """Rows a forecast made at ``cutoff`` may use: happened before it, published by it."""
-    cut = F.lit(cutoff) if not isinstance(cutoff, Column) else cutoff
+    cut = wall(cutoff)
     return df.where((F.col("event_at") < cut) & (F.col("available_at") <= cut))
 
 
 def in_window(df: DataFrame, column: str, start, end) -> DataFrame:
     if start >= end:
         raise ValueError("window must have start before end")
-    return df.where((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
+    return df.where((F.col(column) >= wall(start)) & (F.col(column) < wall(end)))
 
 
 def opaque(column: Column, field: str, salt: str) -> Column:

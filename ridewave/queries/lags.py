@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from ridewave.functions.clock import wall
 from ridewave.operators import counts as C
 from ridewave.operators import features as W
 from ridewave.operators.joins import hour_grid, span_days
@@ -28,11 +29,11 @@ def lag_sql(offset: int) -> str:
 
 
 def hourly_inputs(t):
-    seen = t.validations.where((F.col("ts") < F.lit(CUT)) & (F.col("available_at") <= F.lit(CUT)))
+    seen = t.validations.where((F.col("ts") < wall(CUT)) & (F.col("available_at") <= wall(CUT)))
     cells = C.bucket_counts(seen, ENTITY, "hourly", coverage(t), CUT)
     ents = t.validations.select(*ENTITY).distinct()
     targets = ents.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: (
-        F.lit(CUT) + F.make_dt_interval(hours=i)))))
+        wall(CUT) + F.make_dt_interval(hours=i)))))
     return targets, cells
 
 
@@ -87,7 +88,7 @@ FROM targets t {LAG_JOINS} LEFT JOIN roll r ON r.route=t.route AND r.stop_no=t.s
 def _(t):
     targets, cells = hourly_inputs(t)
     caps = t.validations.select(*ENTITY, F.struct("available_at", "event_id").alias("order"), F.col("k").alias("capacity"), "available_at")
-    newest = caps.where(F.col("available_at") <= F.lit(CUT)).groupBy(*ENTITY).agg(F.max_by("capacity", "order").alias("capacity"), F.max("available_at").alias("available_at"))
+    newest = caps.where(F.col("available_at") <= wall(CUT)).groupBy(*ENTITY).agg(F.max_by("capacity", "order").alias("capacity"), F.max("available_at").alias("available_at"))
     out = W.build_features(targets, cells, coverage(t), ENTITY, W.DAY_HOUR, CUT, newest)
     return out.select(*ENTITY, "bucket", "hour_of_day", "hour_of_week", "horizon_index", "lag_1h", "lag_24h", "lag_168h",
                       rnd("seasonal_4x24h_mean").alias("seasonal_4x24h_mean"), "seasonal_4x24h_coverage",
@@ -105,7 +106,7 @@ def _(t):
     cut = datetime(2001, 1, 1)
     rows = t.orders.select(F.col("o_orderpriority").alias("route"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
     cov = rows.select(F.to_date("ts").alias("date"), F.lit(None).cast("timestamp_ntz").alias("published_at")).distinct()
-    cells = C.bucket_counts(rows.where(F.col("ts") < F.lit(cut)), ["route"], "monthly", cov, cut)
+    cells = C.bucket_counts(rows.where(F.col("ts") < wall(cut)), ["route"], "monthly", cov, cut)
     targets = rows.select("route").distinct().withColumn("bucket", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(11)), lambda m: F.add_months(F.lit(cut.date()), m).cast("timestamp_ntz"))))
     out = W.lag_features(targets, cells, cov, ["route"], W.YEAR_MONTH, cut)

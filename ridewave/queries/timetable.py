@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from ridewave.functions.clock import clock_seconds
+from ridewave.functions.clock import wall
 from ridewave.operators import audits as A
 from ridewave.operators import joins as J
 from ridewave.operators import mapping as M
@@ -246,7 +247,7 @@ SELECT h.route, h.date, h.hour, array_to_string(list(notice_id ORDER BY notice_i
 def _(t):
     routes = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
     n = c("n_nationkey")
-    start = F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz") + F.make_dt_interval(hours=n * 7)
+    start = wall(datetime(2024, 1, 2)) + F.make_dt_interval(hours=n * 7)
     kinds = F.array(*[F.lit(x) for x in ("none", "weekends", "night_after_23_30", "night_after_00_20")])
     notices = t.nation.select(F.concat(F.lit("n"), n.cast("string")).alias("notice_id"), F.get(routes, n % 5).alias("route"), start.alias("start"),
                               F.when(n % 6 != 0, start + F.make_dt_interval(hours=F.lit(60))).alias("end"), F.get(kinds, n % 4).alias("recurrence"))
