@@ -56,7 +56,7 @@ ZONE_SQL = """zn AS (SELECT 'z' || (k % 3) AS zone, date, hour//6 AS hour, round
 
 
 @query("zone_weighted_weather", "A57", f"""WITH {ZONE_SQL}, g AS (SELECT route, date, hour, count(temperature_2m) AS k, sum(temperature_2m*weight)/sum(weight) AS t FROM zn JOIN ex USING (zone) GROUP BY ALL), v AS (SELECT route, date, hour, weather_code, sum(weight) AS s, count(*) AS k FROM zn JOIN ex USING (zone) GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY route, date, hour ORDER BY s DESC, weather_code) AS r, sum(k) OVER (PARTITION BY route, date, hour) AS kk FROM v)
-SELECT g.route, g.date, g.hour, CASE WHEN g.k=need THEN round(t,6) END AS temperature_2m, CASE WHEN m.kk=need THEN weather_code END AS weather_code FROM g JOIN nd USING (route) JOIN m ON m.route=g.route AND m.date=g.date AND m.hour=g.hour AND r=1""", "validations")
+SELECT g.route, g.date, g.hour, CASE WHEN g.k=need THEN round(t,4) END AS temperature_2m, CASE WHEN m.kk=need THEN weather_code END AS weather_code FROM g JOIN nd USING (route) JOIN m ON m.route=g.route AND m.date=g.date AND m.hour=g.hour AND r=1""", "validations")
 def _(t):
     v = t.validations
     z = v.where("k % 3 <> 2 OR device % 9 <> 0 OR hour > 3").groupBy(
@@ -64,7 +64,8 @@ def _(t):
         rnd(F.avg("value")).alias("temperature_2m"), F.min(c("k") % 5).alias("weather_code"))
     stops = v.where("route <> 'view' OR stop_no % 3 <> 1").groupBy(c("stop_no").alias("stop_id"), F.concat(F.lit("z"), (c("stop_no") % 3).cast("string")).alias("zone")).agg(
         F.collect_set("route").alias("routes"))
-    return rounded_all(X.route_weather(z, X.exposure_weights(stops), ["temperature_2m"], ["weather_code"]))
+    return X.route_weather(z, X.exposure_weights(stops), ["temperature_2m"], ["weather_code"]).withColumn(
+        "temperature_2m", rnd("temperature_2m", 4))
 
 
 # Posts and articles: texts written from event columns.

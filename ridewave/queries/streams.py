@@ -1 +1,97 @@
-"""Queries."""
+"""Streaming jobs driven to completion over the given files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ridewave.functions.clock import wall_seconds
+from ridewave.operators import mapping as M
+from ridewave.operators.ingest import content_hash
+from ridewave.queries.base import query
+from ridewave.queries.ingest import JSON_SQL
+from ridewave.queries.timetable import MAP_SQL, USES, nested, spans
+from ridewave.sources.events import parse_jsonl
+from ridewave.streaming import jobs as S
+
+c = F.col
+
+
+def stream(t):
+    """The events file as a stream."""
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+
+
+def finish(t, df, keys, name, mode="update"):
+    out = S.scratch(t.spark, name)
+    S.write_updates(df, out, out + "-checkpoint", mode).awaitTermination()
+    return S.read_latest(t.spark, out, keys)
+
+
+@query("stream_ingest", "X1 X6", f"""WITH {JSON_SQL}, r AS (SELECT event_id AS row_index, CASE WHEN event_id % 97=0 OR event_id % 89=0 THEN 'decode_error' END AS p, event_id//3 AS id, event_type FROM (SELECT * FROM events)), n AS (SELECT *, row_number() OVER (PARTITION BY id, p IS NULL ORDER BY row_index) AS rn, first_value(event_type) OVER (PARTITION BY id, p IS NULL ORDER BY row_index) AS f FROM r)
+SELECT 'events' AS stream, count(*) AS input_rows, count(*) FILTER (p IS NULL AND rn=1) AS valid, count(*) FILTER (p IS NULL AND rn>1 AND event_type=f) AS duplicates, count(*) FILTER (p IS NOT NULL OR (rn>1 AND event_type<>f)) AS quarantined FROM n""")
+def _(t):
+    n = c("event_id")
+    body = F.concat(F.lit('{"id":'), F.floor(n / 3).cast("string"), F.lit(',"route":"'), "event_type", F.lit('"}'))
+    text = F.when(n % 97 == 0, F.lit('{"id":')).when(n % 89 == 0, F.lit("[1]")).otherwise(body)
+    lines = stream(t).select(n.alias("row_index"), text.alias("value"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("route", T.StringType())])
+
+    def check(batch):
+        return parse_jsonl(batch, schema).withColumn("payload_hash", content_hash(["id", "route"])).withColumn("stream", F.lit("events"))
+
+    out = S.scratch(t.spark, "ingest")
+    S.stream_ingest(lines, check, "id", out, out + "-checkpoint").awaitTermination()
+    return S.ingest_ledger(t.spark, out, ["stream"])
+
+
+@query("stream_dedup", "X2", "SELECT DISTINCT event_id//2 AS id FROM events")
+def _(t):
+    rows = stream(t).select(F.floor(c("event_id") / 2).alias("id"), c("ts").cast("timestamp").alias("ts"))
+    out = S.scratch(t.spark, "dedup")
+    S.write_updates(S.stream_dedup(rows, "id", "ts", "2 hours"), out, out + "-checkpoint", "append").awaitTermination()
+    return t.spark.read.parquet(out).select("id")
+
+
+@query("stream_conflicts", "X2", """WITH r AS (SELECT event_id//2 AS id, event_type, row_number() OVER (PARTITION BY event_id//2 ORDER BY ts) AS rn, first_value(event_type) OVER (PARTITION BY event_id//2 ORDER BY ts) AS f FROM events) SELECT CASE WHEN rn=1 THEN 'new' WHEN event_type=f THEN 'duplicate' ELSE 'conflict' END AS verdict, count(*) AS rows FROM r GROUP BY ALL""")
+def _(t):
+    rows = stream(t).select(F.floor(c("event_id") / 2).alias("id"), c("ts").cast("timestamp").alias("ts"), "event_type")
+    out = S.scratch(t.spark, "conflicts")
+    S.write_updates(S.stream_conflicts(rows, "id", "ts", c("event_type"), "2 hours"), out, out + "-checkpoint", "append").awaitTermination()
+    return t.spark.read.parquet(out).groupBy("verdict").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("stream_hourly_counts", "X3", "SELECT event_type AS route, date_trunc('hour', ts) AS hour_start, count(*) AS boardings FROM events WHERE value>=1.0 GROUP BY ALL")
+def _(t):
+    rows = stream(t).where("value >= 1.0").select(c("event_type").alias("route"), c("ts").cast("timestamp").alias("ts"))
+    out = finish(t, S.stream_hourly(rows, ["route"], "ts", "40 days"), ["route", "hour_start"], "hourly")
+    return out.withColumn("hour_start", c("hour_start").cast("timestamp_ntz"))
+
+
+@query("stream_sessions", "X4", """WITH l AS (SELECT event_type AS route, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts-p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT route, min(ts) AS first, max(ts)+INTERVAL 30 MINUTE AS closed, count(*) AS events FROM g GROUP BY route, s""")
+def _(t):
+    rows = stream(t).select(c("event_type").alias("route"), c("ts").cast("timestamp").alias("ts"))
+    out = S.scratch(t.spark, "sessions")
+    batch = S.stream_sessions(rows, "route", "ts", "30 minutes", "40 days")
+    query_ = batch.writeStream.outputMode("complete").option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).foreachBatch(
+        lambda df, number: df.write.mode("overwrite").parquet(f"{out}/batch_id={number}")).start()
+    query_.awaitTermination()
+    return S.read_latest(t.spark, out, ["route", "first"]).select(
+        "route", c("first").cast("timestamp_ntz").alias("first"), c("closed").cast("timestamp_ntz").alias("closed"), "events")
+
+
+@query("stream_visibility_ledger", "X5 X6", """SELECT route, CASE WHEN ts < TIMESTAMP '2024-01-15' AND available_at <= TIMESTAMP '2024-01-15' THEN 'visible' WHEN ts < TIMESTAMP '2024-01-15' THEN 'late' ELSE 'future' END AS status, count(*) AS rows FROM validations GROUP BY ALL""", "validations")
+def _(t):
+    lag = (c("event_id") % 7200).cast("decimal(18,6)")
+    rows = stream(t).select(c("event_type").alias("route"), c("ts").alias("event_at"), (c("ts") + F.make_dt_interval(secs=lag)).alias("available_at"))
+    marked = S.stream_late(rows, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return finish(t, S.stream_ledger(marked, ["route", "status"]), ["route", "status"], "ledger")
+
+
+@query("stream_day_mapping", "X7", f"WITH {MAP_SQL} SELECT date, status, count(*) AS events FROM mapped GROUP BY ALL", USES)
+def _(t):
+    rows = stream(t).select("event_id", wall_seconds(c("ts")).alias("sec"), F.to_date("ts").alias("date"), c("event_type").alias("route"), c("user_id").alias("duty"))
+    trips, shapes = spans(t), nested(t)
+    out = S.scratch(t.spark, "mapping")
+    S.stream_map_days(rows, lambda batch: M.map_events(batch, trips, shapes), out, out + "-checkpoint").awaitTermination()
+    return S.receipts(t.spark, out)
