@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridewave.functions.clock import bucket_start, wall
 from ridewave.operators.blocks import previous_row
-from ridewave.operators.joins import require
+from ridewave.operators.joins import checked
 
 
 
@@ -37,9 +37,9 @@ def bucket_counts(events: DataFrame, entity: Sequence[str], granularity: str, co
     daily = events.groupBy(*entity, F.to_date(ts).alias("date"), bucket_start(F.col(ts), granularity).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
     known = available_dates(coverage, cutoff)
-    joined = require(daily.join(known, "date", "left"), F.col("available").isNull(),
-                     "coverage calendar excludes a date that has events")
-    counts = joined.where("available").groupBy(*entity, "bucket").agg(F.sum("n").alias("value"))
+    seen = checked(F.col("available"), F.col("available").isNull() & F.col("n").isNotNull(),
+                   "coverage calendar excludes a date that has events", "boolean")
+    counts = daily.join(known, "date", "left").where(seen).groupBy(*entity, "bucket").agg(F.sum("n").alias("value"))
     units = bucket_units(known, granularity)
     day_key = F.to_date("bucket")
     keyed = counts.withColumn("unit_day", day_key)

@@ -154,20 +154,22 @@ def content_hash(columns: Iterable[str]) -> Column:
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
 
 
-def dedup_exact(df: DataFrame, key: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
+def dedup_exact(df: DataFrame, key: Sequence[str], order: Sequence[str], payload: Sequence[str],
+                eligible: Column | None = None) -> DataFrame:
     """``verdict`` per row: ``new`` for the first row of a key, ``duplicate`` for an equal
-    payload, ``conflict`` for another one.
+    payload, ``conflict`` for another one; NULL for rows that are not ``eligible``.
 
     The first row is an aggregate joined back, not a window: a key with very many copies is
     combined before the shuffle and its rows stay spread over the join.
     """
-    hashed = df.withColumn("payload_hash", content_hash(payload))
+    takes_part = F.lit(True) if eligible is None else eligible
+    hashed = df.withColumn("payload_hash", F.when(takes_part, content_hash(payload)))
     position = F.struct(*[F.col(o) for o in order])
-    heads = hashed.groupBy(*key).agg(
+    heads = hashed.where(takes_part).groupBy(*key).agg(
         F.min(F.struct(position.alias("position"), F.col("payload_hash").alias("hash"))).alias("_head"))
     joined = hashed.join(heads, list(key), "left")
-    verdict = (F.when(position == F.col("_head.position"), "new")
-               .when(F.col("payload_hash") == F.col("_head.hash"), "duplicate").otherwise("conflict"))
+    verdict = F.when(takes_part, F.when(position == F.col("_head.position"), "new")
+                     .when(F.col("payload_hash") == F.col("_head.hash"), "duplicate").otherwise("conflict"))
     return joined.withColumn("verdict", verdict).drop("_head")
 
 

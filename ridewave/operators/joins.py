@@ -28,11 +28,23 @@ def span_days(df: DataFrame, column: str = "date") -> DataFrame:
 
 
 def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
-    """Fail the job at the first row where ``bad`` holds; otherwise pass rows through."""
+    """Fail the job at the first row where ``bad`` holds; otherwise pass rows through.
+
+    Do not filter the same outer join on the checked column afterwards: a null-rejecting filter
+    turns the join inner and removes the rows the guard must see.  Use :func:`checked` there.
+    """
     guard = F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
     return df.where(guard)
 
 
+def checked(value: Column, bad: Column, message: str, kind: str) -> Column:
+    """The value, or a failed job where ``bad`` holds; the guard travels with the value.
+
+    ``bad`` names columns of both join sides, which keeps the optimizer from reasoning about one.
+    """
+    return F.when(bad, F.raise_error(F.lit(message)).cast(kind)).otherwise(value)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 

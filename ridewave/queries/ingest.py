@@ -220,11 +220,7 @@ def _(t):
 
 
 def verdicts(t):
-    rows = checked_rows(t)
-    ok = I.dedup_exact(rows.where("problem IS NULL"), ["event_id"], ["row_index"], ["event_id", "payload"])
-    bad = rows.where("problem IS NOT NULL").withColumn("payload_hash", F.lit(None).cast("string")).withColumn(
-        "verdict", F.lit(None).cast("string"))
-    return ok.unionByName(bad)
+    return I.dedup_exact(checked_rows(t), ["event_id"], ["row_index"], ["event_id", "payload"], F.col("problem").isNull())
 
 
 VERDICT_SQL = CONTRACT_SQL + """, numbered AS (SELECT row_index, route_id, problem_text, CASE WHEN problem_text IS NULL THEN

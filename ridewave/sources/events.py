@@ -65,11 +65,12 @@ def parse_jsonl(lines: DataFrame, schema: T.StructType, column: str = "value") -
 
 
 def read_events_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines from files.  Bytes that are not UTF-8 leave the replacement character."""
+    """JSON lines from files; ``raw`` is readable text even where the bytes are not UTF-8."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
     parsed = parse_jsonl(lines, schema)
     damaged = F.struct(F.lit("decode_error").alias("reason"), F.lit("invalid UTF-8").alias("detail"))
-    return parsed.withColumn("problem", F.when(F.col("raw").contains("�"), damaged).otherwise(F.col("problem")))
+    return parsed.withColumn("problem", F.when(~F.is_valid_utf8("raw"), damaged).otherwise(
+        F.col("problem"))).withColumn("raw", F.make_valid_utf8("raw"))
 
 
 def parse_csv_lines(lines: DataFrame, header: Sequence[str], column: str = "value", sep: str = ",") -> DataFrame:
