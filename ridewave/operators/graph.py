@@ -35,14 +35,15 @@ def validate_network(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .unionByName(_problem(edges.where(c("length_m").isNull() | F.isnan("length_m") | (c("length_m") < 0)), "invalid_length", edge_id())))
 
 
-def validate_extract(elements: DataFrame) -> DataFrame:
+def validate_extract(elements: DataFrame, references: DataFrame) -> DataFrame:
     """Way nodes and relation members that the extract does not hold.
 
-    ``elements``: kind, id and ``refs`` (array of struct kind, ref).
+    ``elements``: kind, id.  ``references``: kind, id, r_kind, ref - one row per reference, so a
+    huge relation never becomes one long list.
     """
     held = elements.select(c("kind").alias("r_kind"), c("id").alias("ref")).distinct()
-    asked = elements.select("kind", "id", F.explode("refs").alias("r")).select("kind", "id", c("r.kind").alias("r_kind"), c("r.ref").alias("ref"))
-    return asked.where("r_kind <> 'relation'").join(held, ["r_kind", "ref"], "left_anti").select("kind", "id", "r_kind", "ref")
+    asked = references.where("r_kind <> 'relation'").select("kind", "id", "r_kind", "ref").distinct()
+    return asked.join(held, ["r_kind", "ref"], "left_anti").select("kind", "id", "r_kind", "ref")
 
 
 def edges_from_members(members: DataFrame) -> DataFrame:

@@ -251,6 +251,18 @@ def sweep(labels: DataFrame, origins: Sequence[date], configs: Sequence[Config],
         F.greatest(F.lit(0.0), mixed * factor).alias("prediction"))
 
 
+def window_means(labels: DataFrame, origins: Sequence[date], windows: Sequence[int], horizon: int, factor: float = 1.0) -> DataFrame:
+    """Mean of the last days per route and hour for many origins and windows in one plan."""
+    wanted = F.array(*[F.lit(o) for o in origins])
+    past = labels.withColumn("origin", F.explode(F.filter(wanted, lambda o: (c("date") < o) & (c("date") >= F.date_sub(o, max(windows))))))
+    age = F.datediff("origin", "date")
+    levels = past.groupBy("origin", "route", "hour").agg(*[F.avg(F.when(age <= w, c("boardings"))).alias(f"m{w}") for w in windows])
+    ahead = labels.withColumn("origin", F.explode(F.filter(wanted, lambda o: (c("date") >= o) & (c("date") < F.date_add(o, horizon)))))
+    models = F.explode(F.array(*[F.struct(F.lit(f"mean_{w}").alias("model"), (c(f"m{w}") * factor).alias("prediction")) for w in windows]))
+    return ahead.join(levels, ["origin", "route", "hour"]).select("origin", "route", "date", "hour", "boardings", models.alias("m")).select(
+        "m.model", "origin", "route", "date", "hour", "boardings", "m.prediction")
+
+
 def sweep_ranking(predictions: DataFrame) -> DataFrame:
     return rank_models(score(predictions, ["model", "origin"]))
 

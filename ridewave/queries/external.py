@@ -73,6 +73,7 @@ POST_SQL = """ps AS (SELECT event_id, date, hour, k, CASE k % 6 WHEN 0 THEN k %
 
 
 def post_pages(t):
+    """Channel pages of at most two posts."""
     k = c("k")
     s, v = (k % 11).cast("string"), (k + 1).cast("string")
     text = (F.when(k % 6 == 0, F.concat(F.lit("ЦОДД:&nbsp;на дорогах сейчас <b>"), s, F.lit("</b> баллов, средняя скорость движения "), v, F.lit(" км/ч")))
@@ -85,7 +86,7 @@ def post_pages(t):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+03:00"></time>'), F.when(k % 9 == 0, "<span>edited</span>").otherwise(""),
         F.lit('<div class="tgme_widget_message_text js-message_text" dir="auto">'), text, F.lit("</div></div>"))
     rows = t.validations.withColumn("_post", post)
-    return rows.groupBy("date", "hour", c("device").alias("page")).agg(F.concat_ws("", F.collect_list("_post")).alias("html"))
+    return rows.groupBy("date", "hour", F.floor(c("event_id") / 2).alias("page")).agg(F.concat_ws("", F.collect_list("_post")).alias("html"))
 
 
 def posts(t):

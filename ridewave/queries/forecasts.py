@@ -252,7 +252,7 @@ GUARD_SQL = f"""{level_sql('order_dense', GUARD_LIST, 28, 1.0001, 1.0, 20)}, ms
 SELECT model, round(wg,6) AS worst_gain, round(wm,6) AS worst_matching_gain, co AS comparable_origins, round(we,6) AS worst_entity_gain, el AS eligible, CASE WHEN NOT hs THEN 'no_shift' WHEN el THEN 'switch_supported' WHEN co>=2 THEN 'candidate_rejected' ELSE 'insufficient_evidence' END AS status FROM q""", "order_dense")
 def _(t):
     signals = H.level_shifts(t.order_dense, GUARD_ORIGINS, H.LevelPolicy(ratio=1.0001, min_reference_daily=1.0))
-    runs = B.run_models(t.order_dense, [MeanModel(28), MeanModel(112)], GUARD_ORIGINS[1:], 61).withColumn("prediction", c("prediction") * 1.9)
+    runs = M.window_means(t.order_dense, GUARD_ORIGINS[1:], [28, 112], 61, 1.9)
     per = score(runs, ["model", "origin", "route"]).select("model", "origin", "route", "score")
     overall = score(runs, ["model", "origin"]).select("model", "origin", F.lit(None).cast("string").alias("route"), "score")
     out = M.review_switch(per.unionByName(overall), signals, ORDER_ORIGIN, "mean_28")

@@ -91,10 +91,11 @@ def _(t):
 
 @query("extract_references", "P18", """SELECT 'way' AS kind, l_orderkey AS id, 'node' AS r_kind, l_suppkey AS ref FROM lineitem WHERE l_suppkey % 10=3 GROUP BY ALL UNION ALL SELECT 'relation', o_custkey, 'way', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL""")
 def _(t):
-    nodes = t.stops.where("stop_id % 10 <> 3").select(F.lit("node").alias("kind"), c("stop_id").alias("id"), F.array().cast("array<struct<kind:string,ref:bigint>>").alias("refs"))
-    ways = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.struct(F.lit("node").alias("kind"), c("l_suppkey").alias("ref"))).alias("refs")).select(F.lit("way").alias("kind"), c("l_orderkey").alias("id"), "refs")
-    rel = t.orders.groupBy("o_custkey").agg(F.collect_set(F.struct(F.lit("way").alias("kind"), c("o_orderkey").alias("ref"))).alias("refs")).select(F.lit("relation").alias("kind"), c("o_custkey").alias("id"), "refs")
-    return G.validate_extract(nodes.unionByName(ways).unionByName(rel))
+    nodes = t.stops.where("stop_id % 10 <> 3").select(F.lit("node").alias("kind"), c("stop_id").alias("id"))
+    ways = t.lineitem.select(F.lit("way").alias("kind"), c("l_orderkey").alias("id"))
+    way_refs = t.lineitem.select(F.lit("way").alias("kind"), c("l_orderkey").alias("id"), F.lit("node").alias("r_kind"), c("l_suppkey").alias("ref"))
+    rel_refs = t.orders.select(F.lit("relation").alias("kind"), c("o_custkey").alias("id"), F.lit("way").alias("r_kind"), c("o_orderkey").alias("ref"))
+    return G.validate_extract(nodes.unionByName(ways), way_refs.unionByName(rel_refs))
 
 
 @query("edges_from_members", "W29", f"""WITH m AS (SELECT trip_id, seq, p.stop_id, p.route, lat, lon FROM lineitem_steps p JOIN stops s ON s.stop_id=p.stop_id), n AS (SELECT *, lead(stop_id) OVER w AS t, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM m WINDOW w AS (PARTITION BY trip_id ORDER BY seq))

@@ -11,7 +11,7 @@ from ridewave.operators.ingest import content_hash
 from ridewave.queries.base import query
 from ridewave.queries.ingest import JSON_SQL
 from ridewave.queries.timetable import MAP_SQL, USES, nested, spans
-from ridewave.sources.events import parse_jsonl
+from ridewave.sources.events import parse_jsonl, read_labels
 from ridewave.streaming import jobs as S
 
 c = F.col
@@ -95,3 +95,13 @@ def _(t):
     out = S.scratch(t.spark, "mapping")
     S.stream_map_days(rows, lambda batch: M.map_events(batch, trips, shapes), out, out + "-checkpoint").awaitTermination()
     return S.receipts(t.spark, out)
+
+
+@query("label_csv_scan", "S1", """SELECT CAST(substr(o_orderpriority,1,1) AS INT) AS route, CAST(o_orderdate AS DATE) AS date, CAST(o_custkey % 24 AS INT) AS hour, CAST(sum(floor(o_totalprice/10000)) AS BIGINT) AS boardings FROM orders GROUP BY ALL""")
+def _(t):
+    out = S.scratch(t.spark, "labels")
+    rows = t.order_hours.withColumn("route", F.substring("route", 1, 1).cast("int"))
+    early = F.col("date") < F.lit("1998-01-01").cast("date")
+    for name, part in (("train", rows.where(early)), ("test", rows.where(~early))):
+        part.select("route", "date", "hour", "boardings").write.option("header", True).option("sep", ";").csv(f"{out}/{name}")
+    return read_labels(t.spark, [f"{out}/train", f"{out}/test"])
