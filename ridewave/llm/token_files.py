@@ -5,9 +5,7 @@ A block keeps four values' byte lengths in one control byte (two bits each) and
 stream; decoding looks control bytes up in a 256-row table.  Blocks stand in Parquet files (binary columns) of ascending
 doc_id, written by Spark's committer, so lost executors and retried tasks leave no partial files.
 
-1. Texts are encoded once.  A text is cut where a single space follows and precedes other characters; there the
-   byte-level pre-tokenizer cuts too, so the pieces' encodings joined are the text's encoding, and pieces are looked up
-   in a bounded cache.  Texts with other white-space runs are encoded whole.
+1. Texts are encoded once, through a bounded cache of pre-tokens (see Encoder).
 2. Counts by token are aggregates; ranks are bounded by the vocabulary.
 3. Documents are dealt by ranges of doc_id, so a file's first position is the sum of the ranges before it.
 
@@ -17,21 +15,32 @@ of the text); a null doc_id is the smallest; an empty table writes no rows; othe
 
 from __future__ import annotations
 
-import re
+import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import input_documents, restored_id, scratch_path, shuffle_partitions, slices, text_key
+from ridewave.llm.common import BYTE_VALUE, RangeHash, input_documents, restored_id, scratch_path, shuffle_partitions, slices, text_key
 from ridewave.llm.ordering import order_ranges
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$| [\x1c-\x1f\x85\xa0]")
-CACHE = 300_000
+# The letters that stand for bytes in a byte-level vocabulary.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTER = {b: b for b in SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+BREAK = chr(BYTE_LETTER[0xFF])
+SEPARATOR, LETTER, DIGIT, SPACE_KIND, BREAK_KIND, SIGN, OTHER = range(7)
+BLANK_KINDS = [SEPARATOR, SPACE_KIND, BREAK_KIND]
+# bytes 0xC3-0xC9 with their continuations are Latin letters, but for two signs that are looked for apart
+KIND = np.array([SEPARATOR if b == 0xFF else LETTER if chr(b).isalpha() and b < 0x80 or 0x80 <= b < 0xC0 or 0xC3 <= b <= 0xC9
+                 else DIGIT if b < 0x80 and chr(b).isdigit() else SPACE_KIND if b == 32 else BREAK_KIND if 9 <= b <= 13
+                 else SIGN if 33 <= b < 127 and b != 39 else OTHER for b in range(256)], np.uint8)
+CACHE = 400_000  # units kept in a worker
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -57,39 +66,116 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(vocabulary), {}
-
-
-def encode_texts(texts: list[str], vocabulary: str) -> list[bytes]:
-    """The ids of each text as little-endian 16-bit words (two for an id over 65,535: see ``wide``)."""
-    tokenizer, cache = encoder(vocabulary)
-    kind = "<u4" if wide(vocabulary) else "<u2"
-    whole = [bool(ODD_SPACE.search(t)) for t in texts]
-    pieces = [[t] if odd or not t else (lambda p: p[:1] + [" " + x for x in p[1:]])(t.split(" ")) for t, odd in zip(texts, whole, strict=True)]
-    fresh: set[str] = set()
-    for p, odd in zip(pieces, whole, strict=True):
-        if not odd:
-            fresh.update(p)
-    fresh.difference_update(cache)
-    if len(cache) + len(fresh) > CACHE:
-        cache.clear()
-        fresh = {x for p, odd in zip(pieces, whole, strict=True) if not odd for x in p}
-    order = list(fresh)
-    for at in range(0, len(order), 20_000):
-        part = order[at:at + 20_000]
-        for piece, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(got.ids, kind).tobytes()
-    look = cache.__getitem__
-    return [np.array(tokenizer.encode(p[0], add_special_tokens=False).ids, kind).tobytes() if odd else b"".join(map(look, p))
-            for p, odd in zip(pieces, whole, strict=True)]
+class Encoder:
+    """Encodes texts through a cache of their pre-tokens, found for whole batches at once.
+
+    A text is cut at its single spaces; there the byte-level pre-tokenizer cuts too.  Pieces of plain characters (ASCII without
+    apostrophe and control characters, and Latin letters) are cut further where letters, digits, signs and white space meet,
+    as its pattern does.  Units are told apart by 64-bit hashes; new ones go to the tokenizer as already cut, in
+    batches.  Pieces of other characters are units as they are and take the tokenizer's whole path; texts with spaces
+    beside other white space are encoded whole.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.code = "u4" if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else "u2"
+        whole = json.loads(self.tokenizer.to_str())
+        self.words_only = Tokenizer.from_str(json.dumps(whole | dict(pre_tokenizer=None, post_processor=None, decoder=None, added_tokens=[])))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}  # hash of a unit -> its number
+        self.flat, self.begin, self.size = np.zeros(0, self.code), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code)
+
+    def learn(self, units: list[bytes], plain: list[bool]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of new units, one after the other, and their counts."""
+        flat: list[np.ndarray] = []
+        sizes: list[int] = []
+        at = 0
+        while at < len(units):
+            to = at
+            while to < len(units) and plain[to] == plain[at] and to - at < 1000:
+                to += 1
+            if plain[at]:
+                letters = b"\xff".join(units[at:to]).decode("latin-1").translate(BYTE_LETTER).split(BREAK)
+                got = self.words_only.encode(letters, is_pretokenized=True, add_special_tokens=False)
+                flat.append(np.array(got.ids, self.code))
+                sizes += np.bincount(np.array(got.word_ids), minlength=to - at).tolist()
+            else:
+                for unit in units[at:to]:
+                    flat.append(self.whole(unit.decode()))
+                    sizes.append(len(flat[-1]))
+            at = to
+        return flat, sizes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        joined = b"\xff" + b"\xff".join(raw) + b"\xff"
+        data = np.frombuffer(joined, np.uint8)
+        kind = KIND[data]
+        after = np.append(kind[1:], SEPARATOR)
+        sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        piece = np.cumsum((kind == SPACE_KIND) | (kind == SEPARATOR))
+        odd_piece = np.zeros(piece[-1] + 2, bool)
+        odd_piece[piece[kind == OTHER]] = True
+        odd_piece[piece[:-1][sign]] = True
+        odd_piece[piece[(kind == BREAK_KIND) & (after == BREAK_KIND)]] = True
+        start = np.ones(len(data), bool)
+        start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE_KIND) & ~odd_piece[piece[1:]] | (kind[1:] == SPACE_KIND) | (kind[:-1] == SEPARATOR)
+        start &= kind != SEPARATOR
+        begin = np.flatnonzero(start)
+        stop = np.flatnonzero(start | (kind == SEPARATOR))
+        end = stop[np.searchsorted(stop, begin) + 1]
+        lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+        edge = np.concatenate([[0], np.cumsum(lengths)])
+        first = np.searchsorted(begin, edge)
+        space = np.flatnonzero(kind == SPACE_KIND)
+        beside = np.isin(kind[space - 1], BLANK_KINDS) | np.isin(after[space], BLANK_KINDS)
+        odd_text = set((np.searchsorted(edge, space[beside], "right") - 1).tolist())
+        codes, distinct = pd.factorize(RangeHash(BYTE_VALUE[data]).of(begin, end))
+        if len(self.place) > CACHE:
+            self.forget()
+        known = distinct.tolist()
+        number = [self.place.get(h, -1) for h in known]
+        new = np.flatnonzero(np.array(number, np.int64) < 0)
+        if len(new):
+            example = np.zeros(len(known), np.int64)
+            example[codes[::-1]] = np.arange(len(codes))[::-1]
+            at = example[new]
+            plain = ~odd_piece[piece[begin[at]]]
+            new, at = np.concatenate([new[plain], new[~plain]]), np.concatenate([at[plain], at[~plain]])
+            flat, sizes = self.learn([joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], [True] * int(plain.sum()) + [False] * int((~plain).sum()))
+            had = len(self.size)
+            for i, k in enumerate(new.tolist()):
+                number[k] = self.place[known[k]] = had + i
+            self.size = np.concatenate([self.size, sizes])
+            self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+            self.flat = np.concatenate([self.flat, *flat])
+        unit = np.array(number, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        size = self.size[unit]
+        to = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(to[-1]) + np.repeat(self.begin[unit] - to[:-1], size)]
+        bounds = to[first].tolist()
+        return [self.whole(texts[i]) if i in odd_text else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
 def wide(vocabulary: str) -> bool:
-    return encoder(vocabulary)[0].get_vocab_size(with_added_tokens=True) > 1 << 16
+    return encoder(vocabulary).code == "u4"
+
+
+def encode_texts(texts: list[str], vocabulary: str) -> list[np.ndarray]:
+    """The ids of each text as 16-bit words (32 for a vocabulary of over 65,536)."""
+    return encoder(vocabulary).encode(texts)
 
 
 ENCODED = "kind int, doc_id long, text_key long, n long, low binary, high binary, token array<int>, seen array<long>"
@@ -101,10 +187,10 @@ def _encode(vocabulary: str, end: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u4" if wide(vocabulary) else "<u2"
-        tail = np.array([end], kind).tobytes()
+        tail = np.array([end], kind)
         seen = np.zeros(1, np.int64)
-        for batch in slices(batches, most=2_000_000):
-            coded = [np.frombuffer(x + tail, kind) for x in encode_texts(batch.column(2).to_pylist(), vocabulary)]
+        for batch in slices(batches, most=1_200_000):
+            coded = [np.append(x, tail) for x in encode_texts(batch.column(2).to_pylist(), vocabulary)]
             count = np.bincount(np.concatenate(coded))
             if len(count) > len(seen):
                 count[:len(seen)] += seen
