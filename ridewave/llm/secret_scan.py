@@ -6,9 +6,10 @@ remaining long tokens: a token whose mean log-likelihood ratio by character pair
 span of kind markov, unless it overlaps a base span.
 
 Training uses labelled samples of bounded size: the ordinary class is the long words of the
-``sample_documents`` documents with the smallest hash, outside base matches; the random class is the digests of
-those documents' ids in base 64, lower-case and upper-case hexadecimal.  Pair counts are aggregates; the model is one row of 67 * 67
-ratios, so the join that brings it to the documents is with a single row.  Everything else covers whole texts of all documents.
+``sample_documents`` documents with the smallest hash, but for base matches and the tokens in question; the random class is
+``sample_strings`` digests in base 64, twice, and in lower-case and upper-case hexadecimal.  Pair counts are aggregates; the model is one
+row of 67 * 67 ratios, so the join that brings it to the documents is with a single row.  Everything else covers
+whole texts of all documents.
 
 Defined results: a null or empty text has no spans; equal spans of different kinds are both kept; repeated rows give equal
 results; without training documents only base spans are found; a null doc_id stays null; other columns are ignored.
@@ -55,29 +56,41 @@ def pair_codes(token: Column) -> Column:
                   ).otherwise(F.array().cast("array<int>"))
 
 
-def markov_ratios(documents: DataFrame, sample_documents: int = 2000, smoothing: float = 0.5) -> DataFrame:
-    """One row: ratios, array<double> by pair code, of ln P(second | first) under the random and the ordinary model."""
+def markov_ratios(documents: DataFrame, sample_documents: int = 2000, sample_strings: int = 4000, smoothing: float = 20.0) -> DataFrame:
+    """One row: ratios, array<double> by pair code, of ln P(second | first) under the random and the ordinary model.
+
+    P(second | first) leans on P(second) with the weight of ``smoothing`` observations.  No row without ordinary tokens.
+    """
     ids = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
     blanked = F.col("text")
     for _, pattern, _, _ in BASE:
         blanked = F.regexp_replace(blanked, pattern, " ")
     ordinary = documents.join(F.broadcast(ids), documents["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(
-        F.lit(0).alias("random"), F.explode(F.regexp_extract_all(blanked, F.lit(r"([A-Za-z0-9+/_=-]{8,})"), F.lit(1))).alias("token"))
-    digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    random = ids.select(F.lit(1).alias("random"), F.explode(F.array(
-        F.base64(F.unhex(digest)), digest, F.upper(digest))).alias("token"))
+        F.lit(0).alias("random"), F.explode(F.regexp_extract_all(blanked, F.lit(r"([A-Za-z0-9+/_=-]{8,})"), F.lit(1))).alias("token")).where(
+        ~(F.col("token").rlike(f"^{TOKEN}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")))
+    digest = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
+    random = documents.sparkSession.range(sample_strings).select(F.lit(1).alias("random"), F.explode(F.array(
+        F.rtrim(F.base64(F.unhex(digest("a"))), F.lit("=")), F.rtrim(F.base64(F.unhex(digest("b"))), F.lit("=")),
+        digest("c"), F.upper(digest("d")))).alias("token"))
     counts = ordinary.unionByName(random).select("random", F.explode(pair_codes(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
     table = counts.groupBy().agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col("random") == k, F.struct("pair", "count")))).alias(f"n{k}") for k in (0, 1)])
-    cells = F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1))
-    smoothed = lambda n: F.transform(cells, lambda i: F.coalesce(F.try_element_at(n, i), F.lit(0)) + smoothing)
-    sums = lambda c: F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda r: F.aggregate(
-        F.slice(c, r * SIZE + 1, SIZE), F.lit(0.0).cast("double"), lambda a, x: a + x))
-    full = table.where("size(n0) > 0 AND size(n1) > 0").select(smoothed("n0").alias("c0"), smoothed("n1").alias("c1"))
-    rows = [sums("c0").alias("r0"), sums("c1").alias("r1")]
-    return full.select("c0", "c1", *rows).select(F.transform(
-        cells, lambda i: F.log(F.element_at("c1", i + 1) / F.element_at("r1", F.floor(i / SIZE).cast("int") + 1))
-        - F.log(F.element_at("c0", i + 1) / F.element_at("r0", F.floor(i / SIZE).cast("int") + 1))).alias("ratios"))
+    cells, marks = F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1)), F.sequence(F.lit(0), F.lit(SIZE - 1))
+    zero = F.lit(0.0).cast("double")
+    counted = lambda n: F.transform(cells, lambda i: F.coalesce(F.try_element_at(n, i), F.lit(0)).cast("double"))
+    by_first = lambda c: F.transform(marks, lambda r: F.aggregate(F.slice(c, r * SIZE + 1, SIZE), zero, lambda a, x: a + x))
+    by_second = lambda c: F.transform(marks, lambda s: F.aggregate(
+        marks, F.lit(0.5).cast("double"), lambda a, r: a + F.element_at(c, r * SIZE + s + 1)))
+    share = lambda c: F.transform(c, lambda x: x / F.aggregate(c, zero, lambda a, y: a + y))
+    full = table.where("size(n0) > 0 AND size(n1) > 0").select(counted("n0").alias("c0"), counted("n1").alias("c1"))
+    full = full.select("c0", "c1", by_first("c0").alias("f0"), by_first("c1").alias("f1"), by_second("c0").alias("s0"), by_second("c1").alias("s1"))
+    full = full.select("c0", "c1", "f0", "f1", share("s0").alias("s0"), share("s1").alias("s1"))
+
+    def chance(k: int, i: Column) -> Column:
+        first, second = F.floor(i / SIZE).cast("int") + 1, i % SIZE + 1
+        return (F.element_at(f"c{k}", i + 1) + smoothing * F.element_at(f"s{k}", second)) / (F.element_at(f"f{k}", first) + smoothing)
+
+    return full.select(F.transform(cells, lambda i: F.log(chance(1, i)) - F.log(chance(0, i))).alias("ratios"))
 
 
 def find_secrets(documents: DataFrame, least_ratio: float = 1.0, **training) -> DataFrame:
