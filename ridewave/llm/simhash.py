@@ -72,9 +72,11 @@ def _value(at: int, width: int) -> Column:
 def _ball(part: int, at: int, width: int, radius: int) -> Column:
     """The values asked for in a segment: itself, and those within ``radius`` bits whose lowest changed bit is unset here."""
     masks = [0] + [sum(1 << b for b in bits) for n in range(1, radius + 1) for bits in combinations(range(width), n)]
+    signed_bits = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    flips = F.array(*[F.struct(F.lit(signed_bits(m)).cast("long").alias("mask"), F.lit(signed_bits(m & -m)).cast("long").alias("lowest")) for m in masks])
     own = _value(at, width)
-    asked = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: own.bitwiseAND(m).bitwiseAND(-m) == 0)
-    return F.transform(asked, lambda m: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(m).alias("value"), (m == 0).alias("same")))
+    asked = F.filter(flips, lambda f: own.bitwiseAND(f["lowest"]) == 0)
+    return F.transform(asked, lambda f: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(f["mask"]).alias("value"), (f["mask"] == 0).alias("same")))
 
 
 def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
