@@ -250,7 +250,8 @@ def repeats(documents: DataFrame, window: int = 20, gram: int = GRAM, most_words
     sorted_rows = rows.repartition(shuffle_partitions(spark), "route").sortWithinPartitions("kind", "anchor", "segment", "doc_id", "start")
     found = written(sorted_rows.mapInArrow(_first_occurrences, REPEAT), "repeats")
     candidates = found.where("kind = 1").drop("kind")
-    crowded = candidates.groupBy("anchor").count().where(F.col("count") > busy).select("anchor", F.lit(True).alias("busy"))
+    # a short table as a rule; written, so that Spark knows its size when it joins
+    crowded = written(candidates.groupBy("anchor").count().where(F.col("count") > busy).select("anchor", F.lit(True).alias("busy")), "crowded-anchors")
     by_text = (candidates.join(crowded, "anchor", "left").groupBy("doc_id", "text_key")
                .agg(F.collect_list(F.struct("anchor", "start", "windows", F.coalesce("busy", F.lit(False)).alias("busy"))).alias("found")))
     pieces = documents.select("doc_id", "text_key", "text").join(by_text, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "found").mapInArrow(_candidate_words(window), PIECE)
