@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ridewave.llm.common import give_back
+
 WINDOW = 10
 # ASCII letters and digits and everything outside ASCII are words, A-Z in lower case.
 FOLD = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32
@@ -170,6 +172,7 @@ def _scanner(items, key: str, window: int):
             words = normal_words(text.encode())
             ranges, found = machine.scan(words)
             out.append((len(words), [{"a": a, "b": b} for a, b in ranges], [machine.names[i] for i in sorted(found)]))
+        give_back()
         return pd.DataFrame(out, columns=["n_words", "ranges", "items"])
     return scan
 

@@ -15,7 +15,6 @@ of the text); a null doc_id is the smallest; an empty table writes no rows; othe
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import BYTE_VALUE, RangeHash, input_documents, restored_id, scratch_path, shuffle_partitions, slices, text_key
+from ridewave.llm.common import BYTE_VALUE, RangeHash, give_back, input_documents, restored_id, scratch_path, shuffle_partitions, slices, text_key
 from ridewave.llm.ordering import order_ranges
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -81,12 +80,11 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.code = "u4" if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else "u2"
-        whole = json.loads(self.tokenizer.to_str())
-        self.words_only = Tokenizer.from_str(json.dumps(whole | dict(pre_tokenizer=None, post_processor=None, decoder=None, added_tokens=[])))
+        self.words_only = Tokenizer(self.tokenizer.model)  # shares the model, without pre-tokenizer and added tokens
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}  # hash of a unit -> its number
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of units, and their numbers
         self.flat, self.begin, self.size = np.zeros(0, self.code), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
@@ -138,25 +136,30 @@ class Encoder:
         beside = np.isin(kind[space - 1], BLANK_KINDS) | np.isin(after[space], BLANK_KINDS)
         odd_text = set((np.searchsorted(edge, space[beside], "right") - 1).tolist())
         codes, distinct = pd.factorize(RangeHash(BYTE_VALUE[data]).of(begin, end))
-        if len(self.place) > CACHE:
+        if len(self.hash) > CACHE:
             self.forget()
-        known = distinct.tolist()
-        number = [self.place.get(h, -1) for h in known]
-        new = np.flatnonzero(np.array(number, np.int64) < 0)
+        spot = np.searchsorted(self.hash, distinct)
+        held = np.append(self.hash, np.uint64(0))[spot] == distinct
+        held &= spot < len(self.hash)
+        number = np.append(self.number, -1)[spot]
+        new = np.flatnonzero(~held)
         if len(new):
-            example = np.zeros(len(known), np.int64)
+            example = np.zeros(len(distinct), np.int64)
             example[codes[::-1]] = np.arange(len(codes))[::-1]
             at = example[new]
             plain = ~odd_piece[piece[begin[at]]]
             new, at = np.concatenate([new[plain], new[~plain]]), np.concatenate([at[plain], at[~plain]])
-            flat, sizes = self.learn([joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], [True] * int(plain.sum()) + [False] * int((~plain).sum()))
-            had = len(self.size)
-            for i, k in enumerate(new.tolist()):
-                number[k] = self.place[known[k]] = had + i
+            flat, sizes = self.learn([joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)],
+                                     [True] * int(plain.sum()) + [False] * int((~plain).sum()))
+            number[new] = len(self.size) + np.arange(len(new))
+            order = np.argsort(distinct[new])
+            into = np.searchsorted(self.hash, distinct[new][order])
+            self.hash = np.insert(self.hash, into, distinct[new][order])
+            self.number = np.insert(self.number, into, number[new][order])
             self.size = np.concatenate([self.size, sizes])
             self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
             self.flat = np.concatenate([self.flat, *flat])
-        unit = np.array(number, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        unit = number[codes] if len(codes) else np.zeros(0, np.int64)
         size = self.size[unit]
         to = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(to[-1]) + np.repeat(self.begin[unit] - to[:-1], size)]
@@ -189,7 +192,7 @@ def _encode(vocabulary: str, end: int):
         kind = "<u4" if wide(vocabulary) else "<u2"
         tail = np.array([end], kind)
         seen = np.zeros(1, np.int64)
-        for batch in slices(batches, most=1_200_000):
+        for batch in slices(batches, most=500_000):
             coded = [np.append(x, tail) for x in encode_texts(batch.column(2).to_pylist(), vocabulary)]
             count = np.bincount(np.concatenate(coded))
             if len(count) > len(seen):
@@ -203,6 +206,7 @@ def _encode(vocabulary: str, end: int):
                                    pa.array([(c & 0xFF).astype(np.uint8).tobytes() for c in coded], pa.binary()),
                                    pa.array([(c >> 8).astype("<u4" if kind == "<u4" else np.uint8).tobytes() for c in coded], pa.binary()),
                                    pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
+            give_back()
         used = np.flatnonzero(seen)
         if len(used):
             yield pa.record_batch([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
@@ -231,24 +235,30 @@ def _blocks(ranks, starts: dict[int, int], high: str, most: int):
             block, at, size, docs, held = block + 1, at + size, 0, [], []
             return out
 
-        for batch in batches:
-            for where, doc, low, top in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if where != part:
-                    if held:
-                        yield flush()
-                    part, block, at, size = where, 0, starts[where], 0
-                ids = np.frombuffer(low, np.uint8).astype(np.uint32) | np.frombuffer(top, high).astype(np.uint32) << np.uint32(8)
-                docs.append(doc)
-                held.append(rank[ids])
-                size += len(ids)
-                if size >= most:
+        for where, doc, low, top in rows_in(batches):
+            if where != part:
+                if held:
                     yield flush()
+                part, block, at, size = where, 0, starts[where], 0
+            ids = np.frombuffer(low, np.uint8).astype(np.uint32) | np.frombuffer(top, high).astype(np.uint32) << np.uint32(8)
+            docs.append(doc)
+            held.append(rank[ids])
+            size += len(ids)
+            if size >= most:
+                yield flush()
         if held:
             yield flush()
     return rows
 
 
-def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 1_000_000) -> str:
+def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
+
+
+def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 200_000) -> str:
     """Writes ``documents`` in the format above under ``path``; returns the folder of blocks, beside the folder of ranks."""
     spark = documents.sparkSession
     texts = input_documents(documents).withColumn("text_key", text_key()).select("doc_id", "text_key", "text")
@@ -281,13 +291,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     tokens = spark.sparkContext.broadcast(np.array([r["token"] for r in ranks], np.uint32))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, docs, n, control, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                ids = tokens.value[unpack(control, data, sum(n))]
-                end = np.cumsum(n)
-                yield pa.record_batch([pa.array(docs, pa.int64()), start + end - np.array(n), pa.array(n, pa.int64()),
-                                       pa.array([ids[b - k:b].tobytes() for b, k in zip(end.tolist(), n, strict=True)], pa.binary())],
-                                      names=["doc_id", "start", "n_tokens", "ids"])
+        for start, docs, n, control, data in rows_in(batches):
+            ids = tokens.value[unpack(control, data, sum(n))]
+            end = np.cumsum(n)
+            yield pa.record_batch([pa.array(docs, pa.int64()), start + end - np.array(n), pa.array(n, pa.int64()),
+                                   pa.array([ids[b - k:b].tobytes() for b, k in zip(end.tolist(), n, strict=True)], pa.binary())],
+                                  names=["doc_id", "start", "n_tokens", "ids"])
+            give_back()
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("start", "doc_id", "n", "control", "data")
     return blocks.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
