@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import RangeHash, U64, Words, mix, slices, utf8, written
+from ridewave.llm.common import RangeHash, U64, Words, give_back, mix, slices, utf8, written
 
 DIMENSION = 64
 NONZEROS = 4
 BUCKETS = 1 << 15
 WINDOW = 2
 THRESHOLD = 0.7
+SLICE = 400_000  # bytes of text worked on at once
 LOWER = bytes(range(256)).lower()
 # lower letters and all non-ASCII are one class, upper letters and digits one each, every sign is its own
 CLASS = np.array([1 if chr(b).islower() or b >= 0x80 else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else b + 4 for b in range(256)], np.uint64)
@@ -211,8 +212,9 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, DIMENSION), np.float32)
-        for batch in slices(batches, most=2_000_000):
+        for batch in slices(batches, most=SLICE):
             total += context_sums(utf8(batch))
+            give_back()
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     contexts = np.zeros((BUCKETS, DIMENSION), np.float32)
@@ -222,7 +224,8 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
     shared = spark.sparkContext.broadcast(contexts)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2_000_000):
+        for batch in slices(batches, most=SLICE):
+            give_back()
             x = features(utf8(batch), shared.value)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["place", "label", "x"])
 
@@ -239,15 +242,14 @@ def scorer(documents: DataFrame, labels: DataFrame, **training):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         table, net = shared.value
-        raw = [t.encode() for t in texts]
-        out, at = np.zeros(len(raw)), 0
-        while at < len(raw):
-            to, size = at, 0
-            while to < len(raw) and (to == at or size + len(raw[to]) <= 1_000_000):
-                size += len(raw[to])
-                to += 1
-            out[at:to] = net.score(features(raw[at:to], table))
-            at = to
+        out, at = np.zeros(len(texts)), 0
+        while at < len(texts):
+            raw = [texts.iat[at].encode()]
+            while at + len(raw) < len(texts) and len(raw) < 256 and sum(map(len, raw)) < SLICE:
+                raw.append(texts.iat[at + len(raw)].encode())
+            out[at:at + len(raw)] = net.score(features(raw, table))
+            at += len(raw)
+            give_back()
         return pd.Series(out)
 
     return lambda text: score(F.coalesce(text, F.lit("")))
