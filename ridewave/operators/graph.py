@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,23 +61,24 @@ def edges_from_members(members: DataFrame) -> DataFrame:
 
 
 def chain_ways(ways: list[np.ndarray]) -> list[int]:
-    """Join ways end to end, flipping or prepending as their ends allow; a gap starts anew."""
-    path: list[int] = []
+    """Ways joined into one node order: at the track's end where they touch it, else at its start, else after a gap."""
+    track: deque[int] = deque()
     for way in ways:
-        nodes = [int(x) for x in way]
-        if not nodes:
-            continue
-        if not path or not {nodes[0], nodes[-1]} & {path[0], path[-1]}:
-            path += nodes
-        elif nodes[0] == path[-1]:
-            path += nodes[1:]
-        elif nodes[-1] == path[-1]:
-            path += nodes[-2::-1]
-        elif nodes[-1] == path[0]:
-            path = nodes[:-1] + path
+        piece = deque(int(x) for x in way)
+        tips = {piece[0], piece[-1]} if piece else set()
+        if track and track[-1] in tips:
+            if piece[0] != track[-1]:
+                piece.reverse()
+            piece.popleft()
+            track.extend(piece)
+        elif track and track[0] in tips:
+            if piece[-1] == track[0]:
+                piece.reverse()
+            piece.popleft()
+            track.extendleft(piece)
         else:
-            path = nodes[:0:-1] + path
-    return path
+            track.extend(piece)
+    return list(track)
 
 
 def order_track(ways: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("stops"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected components, numbered by size with the largest as 0.
 
     Each round takes the least label among neighbours, then jumps to the label's own label, so
@@ -126,7 +128,7 @@ def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame
     both = edges.select(c("source").alias("a"), c("target").alias("b")).unionByName(edges.select(c("target").alias("a"), c("source").alias("b")))
     both = reliable_checkpoint(both.where("a <> b").distinct())
     state = reliable_checkpoint(nodes.select("stop_id", c("stop_id").alias("label")).distinct())
-    for _ in range(limit):
+    while True:
         near = both.join(state, both["b"] == state["stop_id"]).groupBy("a").agg(F.min("label").alias("_near"))
         stepped = state.join(near, state["stop_id"] == near["a"], "left").select(
             "stop_id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
@@ -136,15 +138,13 @@ def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame
         state = following.select("stop_id", "label")
         if following.where("_moved").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("components did not settle within the round limit")
     sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     # one row per component
     ranked = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1)
     return state.join(ranked, "label").select("stop_id", "component", "size")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: DataFrame, limit: int = 1000) -> DataFrame:
+def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Cheapest directed path of every asked pair, or the reason there is none.
 
     All sources relax together; only improved states go on, until none improves.  ``parts`` is the
@@ -157,7 +157,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: D
                                              F.array("stop_id").alias("path")))
     frontier = best
     steps = edges.select(c("source").alias("node"), c("target").alias("_to"), "length_m")
-    for _ in range(limit):
+    while True:
         tried = frontier.join(steps, "node").select("source", c("_to").alias("node"), (c("dist") + c("length_m")).alias("dist"),
                                                     F.concat("path", F.array("_to")).alias("path"))
         least = tried.groupBy("source", "node").agg(F.min(F.struct("dist", "path")).alias("b")).select("source", "node", "b.*")
@@ -168,8 +168,6 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: D
             break
         kept = best.join(better.select("source", "node"), ["source", "node"], "left_anti")
         best, frontier = reliable_checkpoint(kept.unionByName(better)), better
-    else:
-        raise RuntimeError("paths did not settle within the round limit")
     a = parts.select(c("stop_id").alias("source"), c("component").alias("_ca"))
     b = parts.select(c("stop_id").alias("target"), c("component").alias("_cb"))
     out = asked.join(a, "source", "left").join(b, "target", "left").join(best.withColumnRenamed("node", "target"), ["source", "target"], "left")

@@ -108,7 +108,8 @@ def _moving(piece: Column) -> Column:
 
 def extract_traffic_posts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Score, speed and notices of each post of a channel page; conflicts and forecasts are NULL."""
-    blocks = pages.withColumn("_b", F.explode(F.expr(f"slice(split({html}, '{POST_MARK}'), 2, 100000)")))
+    blocks = pages.withColumn("_b", F.explode(F.expr(
+        f"slice(split({html}, '{POST_MARK}'), 2, greatest(size(split({html}, '{POST_MARK}')) - 1, 0))")))
     posts = blocks.select(
         *[x for x in pages.columns if x != html],
         F.regexp_extract("_b", r'data-post="([^"]+)"', 1).alias("post"),

@@ -50,10 +50,12 @@ def stream_ingest(lines: DataFrame, check: Callable[[DataFrame], DataFrame], key
     spark = lines.sparkSession
 
     def process(batch: DataFrame, number: int) -> None:
+        # a row without an id can't be deduplicated: it is quarantined, not lost
         rows = check(batch).persist()
+        usable = c("problem").isNull() & c(key).isNotNull()
         seen_path = f"{out}/seen"
         order = F.struct("row_index", "payload_hash")
-        good = rows.where("problem IS NULL")
+        good = rows.where(usable)
         heads = good.groupBy(key).agg(F.min(order).alias("_head"))
         if number > 0 and _exists(spark, seen_path):
             earlier = spark.read.parquet(seen_path).where(c("batch_id") < number).groupBy(key).agg(
@@ -66,7 +68,7 @@ def stream_ingest(lines: DataFrame, check: Callable[[DataFrame], DataFrame], key
         verdict = (F.when(c("_seen").isNull() & (order == c("_head")), "new")
                    .when(c("payload_hash") == first, "duplicate").otherwise("conflict"))
         judged = judged.withColumn("verdict", verdict).drop("_head", "_seen")
-        bad = rows.where("problem IS NOT NULL").withColumn("verdict", F.lit("rejected"))
+        bad = rows.where(~usable).withColumn("verdict", F.lit("rejected"))
         both = judged.unionByName(bad)
         both.write.mode("overwrite").parquet(f"{out}/rows/batch_id={number}")
         judged.where("verdict = 'new'").select(key, "payload_hash").write.mode("overwrite").parquet(f"{seen_path}/batch_id={number}")
@@ -103,6 +105,8 @@ def stream_conflicts(df: DataFrame, key: str, ts: str, payload: Column, delay: s
     rows = df.select(c(key).cast("string").alias("id"), c(ts).cast("timestamp").alias("at"), F.sha2(payload, 256).alias("hash")).withWatermark(
         "at", delay)
 
+    horizon = int(pd.Timedelta(delay).total_seconds() * 1000)
+
     def judge(ids: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -119,7 +123,7 @@ def stream_conflicts(df: DataFrame, key: str, ts: str, payload: Column, delay: s
                     verdicts.append("duplicate" if h == first else "conflict")
             yield pd.DataFrame({"id": pdf["id"], "at": pdf["at"], "verdict": verdicts})
         state.update((first,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 7_200_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + horizon)
 
     return rows.groupBy("id").applyInPandasWithState(
         judge, "id string, at timestamp, verdict string", "hash string", "append", GroupStateTimeout.EventTimeTimeout)
