@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -79,7 +80,7 @@ def powers(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, 1 << 16), base, U64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if len(have) > 1 << 23:
+        if len(have) > 1 << 20:  # a worker keeps no more than that between tasks
             return have[:n]
         _POWERS[base] = have
     return have[:n]
@@ -130,8 +131,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 2_
             at = to
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> SparkSession:
+    """Sets the session's Arrow batches to about ``most`` bytes, unless they are smaller already: batches of whole texts
+    are held several times over, in Python and outside the JVM's heap, by every task of an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+    if now is None or int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] > most:
+        spark.conf.set(key, f"{most}b")
+    return spark
+
+
 def give_back() -> None:
     """Returns freed memory to the system (where the C library can), since idle Python workers keep theirs."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ridewave.llm.common import give_back
+from ridewave.llm.common import give_back, small_batches
 
 WINDOW = 10
 # ASCII letters and digits and everything outside ASCII are words, A-Z in lower case.
@@ -179,7 +179,7 @@ def _scanner(items, key: str, window: int):
 
 def with_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 2_000_000) -> DataFrame:
     """``documents`` with _hits: a struct for each block of the benchmark (n_words, ranges, items)."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     words = named.agg(F.sum(F.regexp_count("text", F.lit(COUNT_WORDS)))).first()[0] or 0
     blocks = max(1, -(-2 * words // most_words))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import U64, Words, input_documents, mix, restored_id, shuffle_partitions, text_key
+from ridewave.llm.common import U64, Words, input_documents, mix, restored_id, shuffle_partitions, small_batches, text_key
 from ridewave.llm.ordering import order_ranges
 
 SAMPLES = 64
@@ -147,7 +147,7 @@ def _compare(samples: int, most: int = 2_000_000):
 
 def document_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     texts = input_documents(documents).withColumn("text_key", text_key())
     parts = shuffle_partitions(spark)
     placed = texts.withColumn("_range", order_ranges(texts.select("doc_id"), parts))

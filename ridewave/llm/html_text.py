@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import slices
+from ridewave.llm.common import slices, small_batches
 
 # Element names of HTML and customary names of page parts.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
@@ -156,6 +156,7 @@ def extract_text(pages: DataFrame, width: int = 3, surge: int = 80) -> DataFrame
             texts = [main_text(p, width, surge) for p in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                   names=["page_id", "url", "text", "n_chars"])
+    small_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     return source.mapInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import RangeHash, U64, Words, give_back, mix, slices, utf8, written
+from ridewave.llm.common import RangeHash, U64, Words, give_back, mix, slices, small_batches, utf8, written
 
 DIMENSION = 64
 NONZEROS = 4
@@ -207,7 +207,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, sample
 
 def train(documents: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = 20_000) -> tuple[np.ndarray, Network]:
     """Bucket context vectors (unit length) and the network."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     sample = written(labelled_sample(documents, labels, target, sample_rows).coalesce(8), "quality-sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

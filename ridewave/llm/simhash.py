@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import give_back, input_documents, longs, restored_id, signed, slices, text_key, utf8, written
+from ridewave.llm.common import give_back, input_documents, longs, restored_id, signed, slices, small_batches, text_key, utf8, written
 from ridewave.llm.components import components
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
             prints = np.array([simhash(t, shingle) for t in utf8(batch)], np.uint64)
             yield pa.record_batch([longs(batch, "doc_id"), longs(batch, "text_key"), signed(prints)], names=["doc_id", "text_key", "fingerprint"])
             give_back()
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", "text_key", "text").mapInArrow(rows, "doc_id long, text_key long, fingerprint long")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridewave.llm.common import (RangeHash, U64, Words, input_documents, longs, mix, restored_id, signed, shuffle_partitions,
-                                 slices, text_key, utf8, written)
+                                 slices, small_batches, text_key, utf8, written)
 from ridewave.llm.fm_index import FMIndex
 
 GRAM = 6
@@ -245,7 +245,7 @@ def repeats(documents: DataFrame, window: int = 20, gram: int = GRAM, most_words
 
     ``documents``: doc_id and text without nulls, and text_key.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text_key", "text").mapInArrow(_segment_rows(window, gram), SEGMENT)
     sorted_rows = rows.repartition(shuffle_partitions(spark), "route").sortWithinPartitions("kind", "anchor", "segment", "doc_id", "start")
     found = written(sorted_rows.mapInArrow(_first_occurrences, REPEAT), "repeats")
