@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridewave.llm.common import BYTE_VALUE, RangeHash, give_back, input_documents, restored_id, scratch_path, shuffle_partitions, slices, text_key
+from ridewave.llm.common import BYTE_VALUE, RangeHash, give_back, input_documents, restored_id, scratch_path, shuffle_partitions, slices, small_batches, text_key
 from ridewave.llm.ordering import order_ranges
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -40,10 +40,15 @@ KIND = np.array([SEPARATOR if b == 0xFF else LETTER if chr(b).isalpha() and b <
                  else DIGIT if b < 0x80 and chr(b).isdigit() else SPACE_KIND if b == 32 else BREAK_KIND if 9 <= b <= 13
                  else SIGN if 33 <= b < 127 and b != 39 else OTHER for b in range(256)], np.uint8)
 CACHE = 400_000  # units kept in a worker
+RANGES = 3  # ranges of doc_id to a shuffle partition: a task sorts and holds less
+ROW_GROUP = str(16 << 20)  # bytes of a row group that a writer holds
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
+def pack(values: np.ndarray, most: int = 1 << 18) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of unsigned 32-bit values; long runs in pieces of ``most`` (a multiple of four)."""
+    if len(values) > most:
+        pieces = [pack(values[at:at + most]) for at in range(0, len(values), most)]
+        return b"".join(c for c, _ in pieces), b"".join(d for _, d in pieces)
     values = values.astype("<u4")
     length = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
@@ -192,7 +197,7 @@ def _encode(vocabulary: str, end: int):
         kind = "<u4" if wide(vocabulary) else "<u2"
         tail = np.array([end], kind)
         seen = np.zeros(1, np.int64)
-        for batch in slices(batches, most=500_000):
+        for batch in slices(batches, most=300_000):
             coded = [np.append(x, tail) for x in encode_texts(batch.column(2).to_pylist(), vocabulary)]
             count = np.bincount(np.concatenate(coded))
             if len(count) > len(seen):
@@ -258,12 +263,13 @@ def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(column[i].as_py() for column in batch.columns)
 
 
-def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 200_000) -> str:
+def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 50_000) -> str:
     """Writes ``documents`` in the format above under ``path``; returns the folder of blocks, beside the folder of ranks."""
     spark = documents.sparkSession
+    small_batches(spark)
     texts = input_documents(documents).withColumn("text_key", text_key()).select("doc_id", "text_key", "text")
     raw = f"{path}/raw"
-    texts.mapInArrow(_encode(vocabulary, end), ENCODED).write.option("compression", "zstd").partitionBy("kind").parquet(raw)
+    texts.mapInArrow(_encode(vocabulary, end), ENCODED).write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).partitionBy("kind").parquet(raw)
     coded = spark.read.schema(ENCODED).parquet(raw)
     counts = coded.where("kind = 1").select(F.explode(F.arrays_zip("token", "seen")).alias("t")).groupBy("t.token").agg(F.sum("t.seen").alias("n"))
     ranked = counts.orderBy(F.desc("n"), "token").collect()  # at most a row for each token of the vocabulary
@@ -272,7 +278,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int
     for i, r in enumerate(ranked):
         table[r["token"]] = i
     ranks = spark.sparkContext.broadcast(table)
-    parts = shuffle_partitions(spark)
+    parts = RANGES * shuffle_partitions(spark)
     docs = coded.where("kind = 0")
     placed = docs.withColumn("part", order_ranges(docs.select("doc_id"), parts))
     sums = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())
@@ -281,7 +287,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int
         starts[part], total = total, total + n
     high = "<u4" if wide(vocabulary) else "u1"
     ordered = placed.select("part", "doc_id", "low", "high", "text_key").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text_key")
-    ordered.select("part", "doc_id", "low", "high").mapInArrow(_blocks(ranks, starts, high, block_tokens), BLOCK).write.parquet(f"{path}/blocks")
+    ordered.select("part", "doc_id", "low", "high").mapInArrow(_blocks(ranks, starts, high, block_tokens), BLOCK).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
     return f"{path}/blocks"
 
 
