@@ -40,7 +40,7 @@ KIND = np.array([SEPARATOR if b == 0xFF else LETTER if chr(b).isalpha() and b <
                  else DIGIT if b < 0x80 and chr(b).isdigit() else SPACE_KIND if b == 32 else BREAK_KIND if 9 <= b <= 13
                  else SIGN if 33 <= b < 127 and b != 39 else OTHER for b in range(256)], np.uint8)
 CACHE = 400_000  # units kept in a worker
-RANGES = 3  # ranges of doc_id to a shuffle partition: a task sorts and holds less
+RANGES = 2  # ranges of doc_id to a shuffle partition: a task sorts and holds less
 ROW_GROUP = str(16 << 20)  # bytes of a row group that a writer holds
 
 
@@ -197,7 +197,7 @@ def _encode(vocabulary: str, end: int):
         kind = "<u4" if wide(vocabulary) else "<u2"
         tail = np.array([end], kind)
         seen = np.zeros(1, np.int64)
-        for batch in slices(batches, most=300_000):
+        for batch in slices(batches, most=1_000_000):
             coded = [np.append(x, tail) for x in encode_texts(batch.column(2).to_pylist(), vocabulary)]
             count = np.bincount(np.concatenate(coded))
             if len(count) > len(seen):
@@ -263,7 +263,7 @@ def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(column[i].as_py() for column in batch.columns)
 
 
-def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 50_000) -> str:
+def write_token_files(documents: DataFrame, path: str, vocabulary: str, end: int = 2, block_tokens: int = 100_000) -> str:
     """Writes ``documents`` in the format above under ``path``; returns the folder of blocks, beside the folder of ranks."""
     spark = documents.sparkSession
     small_batches(spark)
@@ -303,7 +303,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([pa.array(docs, pa.int64()), start + end - np.array(n), pa.array(n, pa.int64()),
                                    pa.array([ids[b - k:b].tobytes() for b, k in zip(end.tolist(), n, strict=True)], pa.binary())],
                                   names=["doc_id", "start", "n_tokens", "ids"])
-            give_back()
+        give_back()
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks").select("start", "doc_id", "n", "control", "data")
     return blocks.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
