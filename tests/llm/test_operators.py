@@ -355,7 +355,7 @@ def test_markov_ratios_tell_random_from_ordinary(spark):
 
 # op8 -------------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000, 1 << 18, (1 << 18) + 1, 600_001])
 def test_pack_round_trip(n):
     rng = np.random.default_rng(n)
     values = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
