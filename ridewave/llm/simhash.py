@@ -113,11 +113,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, p
         restored_id("component_id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
-    """One document of each group of near duplicates stays: its smallest doc_id, and of repeated rows the least in column order."""
-    first = labelled(documents, shingle, distance, parts).select(F.col("least.*")).distinct().select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+def keep_first(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are ``least`` (doc_id, text_key) of a label; of repeated rows the least in column order."""
+    first = labels.select(F.col("least.*")).distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     marked = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63).cast("long")),
                                     "_key": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = marked.join(first, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min(F.struct(*documents.columns)).alias("_row"))
     return kept.select(*[F.col("_row")[c].alias(c) for c in documents.columns])
+
+
+def keep_one(documents: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
+    """One document of each group of near duplicates stays: its smallest doc_id, and of repeated rows the least in column order."""
+    return keep_first(documents, labelled(documents, shingle, distance, parts))
