@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element.  Where a page marks its article, lines
-inside weigh their characters and lines outside nothing; elsewhere a line weighs its characters outside links.  Lines of
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing.  The weights are summed over windows of ``width`` lines.
-Text surges where a window reaches ``surge`` characters and dives where the next window is empty; the lines
-between the first surge and the last dive that have weight are kept, inside a marked article whatever their size.
+Markup is stripped to lines, one for each block element.  On every page a line weighs its characters outside links; inside an
+article or main element it weighs ``raised`` times all its characters.  Lines of menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments weigh nothing, article elements so named included.  The weights are summed over windows of ``width`` lines.
+Text surges where a window reaches ``surge`` and dives where the next window is empty; the lines between a surge and
+its dive that have weight are kept.  A class or id names such a part by a whole class token, or by the part of it before the
+first hyphen, underscore or change of case.
 
 Defined results: a null or empty page, or one without an article text, gives an empty text; unclosed elements
 end with their parent, with the article or with the page; script and style text never counts, whatever it holds; repeated rows
@@ -38,7 +39,12 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[a-zA-Z]+")
+LEADING = re.compile(r"[A-Z]*[a-z]*")
+
+
+def _names_part(value: str) -> bool:
+    """Whether a class token, or its leading part, is the name of a page part."""
+    return any(t.lower() in PARTS or LEADING.match(t)[0].lower() in PARTS for t in value.split())
 
 
 def _left_out(name: str, rest: str, in_article: bool) -> bool:
@@ -51,21 +57,33 @@ def _left_out(name: str, rest: str, in_article: bool) -> bool:
                 return True
             if key == "role" and value.lower() in ROLES:
                 return True
-            if key in ("class", "id") and name not in ("body", "html", "article", "main") and any(
-                    p.lower() in PARTS for p in NAME_PART.findall(value)):
+            if key in ("class", "id") and name not in ("body", "html", "main") and _names_part(value):
                 return True
     return False
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, characters outside links, inside the article) of a page, and whether it marks an article.
+def _unclosed(tokens: list[re.Match]) -> set[int]:
+    """Where elements start that no end tag closes."""
+    open_at: dict[str, list[int]] = {}
+    for token in tokens:
+        if name := token["name"]:
+            held = open_at.setdefault(name.lower(), [])
+            if not token["end"]:
+                held.append(token.start()) if not token["rest"].endswith("/") else None
+            elif held:
+                held.pop()
+    return {at for held in open_at.values() for at in held}
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """Lines (text, characters outside links, inside an article or main element) of a page.
 
     Left-out parts give empty lines, which end a run of text.
     """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
-    skip, depth, link, article, marked = "", 0, 0, 0, False
+    skip, depth, inner, loose, link, article = "", 0, 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -84,8 +102,9 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if link:
                 linked += len(" ".join(text.split()))
 
-    at = 0
-    for token in TOKEN.finditer(page):
+    at, tokens = 0, list(TOKEN.finditer(page))
+    unclosed = _unclosed(tokens)
+    for token in tokens:
         add(page[at:token.start()])
         at = token.end()
         name = token["name"]
@@ -95,12 +114,18 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         name, closing = name.lower(), bool(token["end"])
         if name in ("article", "main"):
-            if skip and (closing or not article):
-                skip = ""
-            if not skip:
+            if skip and not closing and (name == "main" or loose and not article):
+                skip = ""  # a part without an end tag ends where an article begins
+            elif skip and name != skip:
+                if not closing:
+                    inner += 1
+                elif inner:
+                    inner -= 1
+                else:
+                    skip = ""  # the article ends around the part
+            if not skip and (closing or not _left_out(name, token["rest"], article > 0)):
                 flush()
                 article = max(0, article + (-1 if closing else 1))
-                marked = True
                 link = 0
                 continue
         if skip:
@@ -115,7 +140,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if not closing and _left_out(name, token["rest"], article > 0):
             flush()
             if name not in VOID and not token["rest"].endswith("/"):
-                skip, depth = name, 1
+                skip, depth, inner, loose = name, 1, 0, token.start() in unclosed
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -126,18 +151,21 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             parts.append(" ")
     add(page[at:])
     flush()
-    return lines, marked
+    return lines
 
 
-def main_text(page: str, width: int = 3, surge: int = 80) -> str:
-    lines, marked = page_lines(page)
-    weights = [(len(text) if inside else 0) if marked else n for text, n, inside in lines]
-    least = 1 if marked else surge
+def main_text(page: str, width: int = 3, surge: int = 80, raised: int = 8) -> str:
+    lines: list[tuple[str, int, bool]] = []
+    for line in page_lines(page):
+        if lines and line[2] != lines[-1][2]:
+            lines += [("", 0, line[2])] * width  # windows do not reach across the edge of an article
+        lines.append(line)
+    weights = [raised * len(text) if inside else n for text, n, inside in lines]
     sums = [sum(weights[i:i + width]) for i in range(len(weights))]
     keep = [False] * len(lines)
     at = 0
     while at < len(lines):
-        if sums[at] < least or not weights[at]:
+        if sums[at] < surge or not weights[at]:
             at += 1
             continue
         end = at  # from the surge to the dive
