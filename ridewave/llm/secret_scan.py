@@ -1,15 +1,14 @@
 """Secret scans, in DataFrame functions only: fixed patterns, and character Markov models for what they miss.
 
 Spans of a pattern are found with the pattern's matches and the pieces between them, whose lengths add up to the
-positions.  Two first-order character models, one of random strings and one of ordinary identifiers, score the
-remaining long tokens: a token whose mean log-likelihood ratio by character pair reaches ``least_ratio`` is a
+positions.  Two first-order character models, one of random strings and one of ordinary words, score every
+remaining token of 20 or more characters: a token whose mean log-likelihood ratio by character pair reaches ``least_ratio`` is a
 span of kind markov, unless it overlaps a base span.
 
-Training uses labelled samples of bounded size: the ordinary class is the long words of the
-``sample_documents`` documents with the smallest hash, but for base matches and the tokens in question; the random class is
-``sample_strings`` digests in base 64, twice, and in lower-case and upper-case hexadecimal.  Pair counts are aggregates; the model is one
-row of 67 * 67 ratios, so the join that brings it to the documents is with a single row.  Everything else covers
-whole texts of all documents.
+The ordinary model counts the character pairs of the words of 8 or more characters of all documents, but for base matches; equal words
+combine before their pairs are counted, and a token in question that occurs only once does not vouch for itself.  The random model is trained on a labelled sample of bounded size: ``sample_strings``
+digests in base 64, twice, and in lower-case and upper-case hexadecimal.  The model is one row of 67 * 67 ratios, so the join
+that brings it to the documents is with a single row.
 
 Defined results: a null or empty text has no spans; equal spans of different kinds are both kept; repeated rows give equal
 results; without training documents only base spans are found; a null doc_id stays null; other columns are ignored.
@@ -56,23 +55,23 @@ def pair_codes(token: Column) -> Column:
                   ).otherwise(F.array().cast("array<int>"))
 
 
-def markov_ratios(documents: DataFrame, sample_documents: int = 2000, sample_strings: int = 4000, smoothing: float = 20.0) -> DataFrame:
+def markov_ratios(documents: DataFrame, sample_strings: int = 4000, smoothing: float = 20.0) -> DataFrame:
     """One row: ratios, array<double> by pair code, of ln P(second | first) under the random and the ordinary model.
 
     P(second | first) leans on P(second) with the weight of ``smoothing`` observations.  No row without ordinary tokens.
     """
-    ids = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
     blanked = F.col("text")
     for _, pattern, _, _ in BASE:
         blanked = F.regexp_replace(blanked, pattern, " ")
-    ordinary = documents.join(F.broadcast(ids), documents["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(
-        F.lit(0).alias("random"), F.explode(F.regexp_extract_all(blanked, F.lit(r"([A-Za-z0-9+/_=-]{8,})"), F.lit(1))).alias("token")).where(
-        ~(F.col("token").rlike(f"^{TOKEN}$") & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")))
+    words = documents.select(F.explode(F.regexp_extract_all(blanked, F.lit(r"([A-Za-z0-9+/_=-]{8,})"), F.lit(1))).alias("token"))
+    seen = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR length(token) < 20")
+    ordinary = seen.select(F.lit(0).alias("random"), "token", "n")
     digest = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     random = documents.sparkSession.range(sample_strings).select(F.lit(1).alias("random"), F.explode(F.array(
         F.rtrim(F.base64(F.unhex(digest("a"))), F.lit("=")), F.rtrim(F.base64(F.unhex(digest("b"))), F.lit("=")),
-        digest("c"), F.upper(digest("d")))).alias("token"))
-    counts = ordinary.unionByName(random).select("random", F.explode(pair_codes(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
+        digest("c"), F.upper(digest("d")))).alias("token"), F.lit(1).cast("long").alias("n"))
+    pairs = ordinary.unionByName(random).select("random", F.explode(pair_codes(F.col("token"))).alias("pair"), "n")
+    counts = pairs.groupBy("random", "pair").agg(F.sum("n").alias("count"))
     table = counts.groupBy().agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col("random") == k, F.struct("pair", "count")))).alias(f"n{k}") for k in (0, 1)])
     cells, marks = F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1)), F.sequence(F.lit(0), F.lit(SIZE - 1))
@@ -99,11 +98,8 @@ def find_secrets(documents: DataFrame, least_ratio: float = 1.0, **training) ->
     text = F.col("text")
     base = texts.withColumn("base", F.array_sort(F.concat(*[spans(text, *[k, i, p, g, n]) for i, (k, p, g, n) in enumerate(BASE)])))
     tokens = spans(text, "markov", len(BASE), TOKEN, 0, 20)
-    mixed = text.rlike(r"[0-9]") & text.rlike(TOKEN)
-    open_tokens = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-                           & F.substring("text", t["start"] + 1, t["end"] - t["start"]).rlike("[0-9]")
-                           & F.substring("text", t["start"] + 1, t["end"] - t["start"]).rlike("[A-Za-z]"))
-    asked = base.withColumn("asked", F.when(mixed, open_tokens).otherwise(F.array().cast(SPAN)))
+    open_tokens = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    asked = base.withColumn("asked", open_tokens)
     model = markov_ratios(documents, **training)
     # the model is a single row (or none), so every document meets it once at most
     scored = asked.join(F.broadcast(model.limit(1)), F.lit(True), "left")
