@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridewave.llm import decontaminate, line_dedup, mixing
+from ridewave.llm import decontaminate, line_dedup, mixing, quality_rules
 from ridewave.llm.decontaminate import contamination
 from ridewave.llm.fingerprints import document_fingerprints
 from ridewave.llm.html_text import extract_text
@@ -42,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": lambda spark, d: token_digest(table(spark, d, "documents"), vocabulary_path()),
     "op9_decontamination": lambda spark, d: contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_quality_classifier": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
 }
 
-SQL = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL,
+       "op11_quality_rules": quality_rules.SQL}

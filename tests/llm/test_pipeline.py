@@ -112,7 +112,7 @@ def test_stages_on_empty_documents(spark, tables):
 def test_registered_names_and_twins():
     import __spark_entry__ as entry
     from ridewave.llm.queries import SQL
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(QUERIES)
 
 
