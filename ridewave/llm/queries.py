@@ -11,6 +11,7 @@ from ridewave.llm import decontaminate, line_dedup, mixing, quality_rules
 from ridewave.llm.decontaminate import contamination
 from ridewave.llm.fingerprints import document_fingerprints
 from ridewave.llm.html_text import extract_text
+from ridewave.llm.periodic_runs import run_digest
 from ridewave.llm.quality import quality_scores
 from ridewave.llm.secret_scan import secret_digest
 from ridewave.llm.simhash import near_duplicates
@@ -43,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": lambda spark, d: contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_quality_classifier": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
+    "op12_periodic_runs": lambda spark, d: run_digest(table(spark, d, "documents")),
 }
 
 SQL = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL,
