@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridewave.llm import decontaminate, line_dedup, mixing, quality_rules
+from ridewave.llm import decontaminate, hard_negatives, line_dedup, mixing, quality_rules
 from ridewave.llm.decontaminate import contamination
 from ridewave.llm.fingerprints import document_fingerprints
 from ridewave.llm.html_text import extract_text
@@ -45,7 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
     "op12_periodic_runs": lambda spark, d: run_digest(table(spark, d, "documents")),
+    "op13_hard_negatives": lambda spark, d: hard_negatives.mined(table(spark, d, "embeddings")),
 }
 
 SQL = {"op2_line_dedup": line_dedup.SQL, "op3_source_mixing": mixing.SQL, "op9_decontamination": decontaminate.SQL,
-       "op11_quality_rules": quality_rules.SQL}
+       "op11_quality_rules": quality_rules.SQL, "op13_hard_negatives": hard_negatives.SQL}
