@@ -257,27 +257,87 @@ def test_day_shards_prune_and_conserve(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()
 
 
-def test_interrupted_stream_equals_one_run(spark, tmp_path):
+def line_check(batch):
     from pyspark.sql import types as TT
     from ridewave.operators.ingest import content_hash
     schema = TT.StructType([TT.StructField("id", TT.LongType()), TT.StructField("v", TT.StringType())])
-    parts = [['{"id":1,"v":"a"}', '{"id":2,"v":"b"}'], ['{"id":1,"v":"a"}', '{"id":2,"v":"x"}', 'broken'], ['{"id":3,"v":"c"}']]
+    lines = batch.withColumn("row_index", F.xxhash64("value"))
+    return E.parse_jsonl(lines, schema).withColumn("payload_hash", content_hash(["id", "v"])).withColumn("stream", F.lit("s"))
+
 
-    def check(batch):
-        lines = batch.withColumn("row_index", F.xxhash64("value"))
-        return E.parse_jsonl(lines, schema).withColumn("payload_hash", content_hash(["id", "v"])).withColumn("stream", F.lit("s"))
+def test_interrupted_stream_equals_one_run(spark, tmp_path):
+    """Three files in three batches, in one run, with restarts between, and with a failure in the middle."""
+    parts = [['{"id":1,"v":"a"}', '{"id":2,"v":"b"}'], ['{"id":1,"v":"a"}', '{"id":2,"v":"x"}', 'broken', '{"v":"y"}'], ['{"id":3,"v":"c"}', '{"id":2,"v":"x"}', '{"id":2,"v":"b"}']]
 
-    def run(name, stops):
+    def run(name, stops, broken=()):
         src, out = tmp_path / name, str(tmp_path / (name + "-out"))
         src.mkdir()
         for i, lines in enumerate(parts):
             (src / f"p{i}.txt").write_text("\n".join(lines) + "\n")
             if i in stops:
                 stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(src))
-                jobs.stream_ingest(stream, check, "id", out, out + "-cp").awaitTermination()
-        return rows(jobs.ingest_ledger(spark, out, ["stream"]))
-
-    assert run("whole", {2}) == run("stopped", {0, 1, 2}) == [("s", 6, 3, 1, 2)]
+                if i in broken:  # rows and heads are written, then the run dies: the batch is replayed
+                    def fail(batch):
+                        if batch.sparkSession is not None:
+                            raise RuntimeError("lost")
+                    with pytest.raises(Exception, match="lost"):
+                        jobs.stream_ingest(stream, fail, "id", out, out + "-cp")
+                jobs.stream_ingest(stream, line_check, "id", out, out + "-cp")
+        found = jobs.ingest_rows(spark, out, "id")
+        assert rows(found.where("verdict IN ('new', 'conflict')"), "id", "v", "verdict") == [(1, "a", "new"), (2, "b", "new"), (2, "x", "conflict"), (2, "x", "conflict"), (3, "c", "new")]
+        # the state of an id is read and written only in batches that bring it
+        assert rows(spark.read.parquet(f"{out}/known"), "id", "batch_id", "first_batch") == [("1", 0, 0), ("1", 1, 0), ("2", 0, 0), ("2", 1, 0), ("2", 2, 0), ("3", 2, 2)]
+        return rows(jobs.ingest_ledger(spark, out, "id", ["stream"]))
+
+    assert run("whole", {2}) == run("stopped", {0, 1, 2}) == run("lost", {0, 1, 2}, {1}) == [("s", 9, 3, 2, 4)]
+
+
+def at(minute, second=0):
+    return datetime(2024, 1, 5, 8 + minute // 60, minute % 60, second)
+
+
+def streamed(spark, folder, batches, schema, job, write):
+    src, out = folder / "in", str(folder / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(2).write.mode("append").parquet(str(src))
+        write(job(spark.readStream.schema(schema).parquet(str(src))), out, out + "-cp").awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+def test_conflict_verdicts_do_not_depend_on_arrival(spark, tmp_path):
+    """Order inside a batch, the horizon, a longer delay and rows that come too late."""
+    schema = "id string, ts timestamp, payload string"
+    first = [("a", at(0), "x"), ("a", at(5), "y"), ("a", at(9), "x"), ("a", at(31), "y"), ("a", at(32), "x"), ("b", at(0), "q"), ("b", at(0), "p")]
+    second = [("a", at(40), "y"), ("a", at(62), "z"), ("b", at(29), "p"), ("a", at(20), "x")]
+    opened = min(("p", "q"), key=lambda x: __import__("hashlib").sha256(x.encode()).hexdigest())
+    want = sorted([("a", at(0), "new"), ("a", at(5), "conflict"), ("a", at(9), "duplicate"), ("a", at(31), "new"), ("a", at(32), "conflict"), ("a", at(40), "duplicate"),
+                   ("a", at(62), "new"), ("a", at(20), "conflict"), ("b", at(0), "new"), ("b", at(0), "conflict"), ("b", at(29), "duplicate" if opened == "p" else "conflict")])
+    rng, results = random.Random(3), []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for i in range(2):
+            batches = [rng.sample(first, len(first)), rng.sample(second, len(second))]
+            (folder := tmp_path / str(i)).mkdir()
+            job = lambda df: jobs.stream_conflicts(df, "id", "ts", c("payload"), "2 hours", "30 minutes")
+            results.append(rows(streamed(spark, folder, batches, schema, job, jobs.write_conflicts)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results == [want, want]
+    (folder := tmp_path / "late").mkdir()
+    batches = [[("a", at(0), "x"), ("c", at(100), "x")], [("a", at(3), "x"), ("a", at(95), "y"), ("c", at(101), "y")]]
+    got = rows(streamed(spark, folder, batches, schema, lambda df: jobs.stream_conflicts(df, "id", "ts", c("payload"), "10 minutes"), jobs.write_conflicts))
+    assert got == [("a", at(0), "new"), ("a", at(95), "new"), ("c", at(100), "new"), ("c", at(101), "conflict")]  # 8:03 is 97 minutes late
+
+
+def test_a_late_bridge_joins_two_sessions(spark, tmp_path):
+    """Two sessions of the first batch become one by an event of the second; a silence of exactly the gap does not split."""
+    schema = "device string, ts timestamp"
+    batches = [[("d", at(0)), ("d", at(12)), ("e", at(0)), ("e", at(10)), ("f", at(0)), ("f", at(10, 1))], [("d", at(6)), ("d", at(60))]]
+    batches.append([tuple(r) for r in jobs.closing_row(spark.createDataFrame(sum(batches, []), schema), "ts", "1 DAY").collect()])
+    job = lambda df: jobs.stream_sessions(df, "device", "ts", "10 minutes", "20 minutes")
+    out = streamed(spark, tmp_path, batches, schema, job, lambda df, out, cp: jobs.write_updates(df, out, cp, "append"))
+    assert rows(out, "device", "first", "last", "events") == [("d", at(0), at(12), 3), ("d", at(60), at(60), 1), ("e", at(0), at(10), 2),
+                                                              ("f", at(0), at(0), 1), ("f", at(10, 1), at(10, 1), 1)]
 
 
 def test_components_and_paths_on_a_hand_graph(spark):
