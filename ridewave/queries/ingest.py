@@ -13,6 +13,7 @@ from ridewave.operators.joins import require
 from ridewave.queries.base import big, query, rnd
 from ridewave.sources import events as E
 from ridewave.sources import exports as X
+from ridewave.streaming.jobs import scratch
 
 HASH_SALT = "ridewave-demo"
 
@@ -356,7 +357,56 @@ def _(t):
     return X.graph_rows(t.stops, t.edges).drop("geometry")
 
 
+def day_shards(t):
+    out = scratch(t.spark, "day-shards")
+    rows = t.validations.select(F.col("event_id").cast("string").alias("event_key"), "event_id", "route", "hour", "success", "date")
+    return out, E.write_day_shards(rows, out)
+
+
 @query("day_shard_read", "S6", """SELECT event_id, route, hour FROM validations WHERE date = DATE '2024-01-10' AND route IN ('click','view')""", "validations")
 def _(t):
-    rows = t.validations.where(F.col("date") == F.lit(date(2024, 1, 10)))
-    return rows.where(F.col("route").isin("click", "view")).select("event_id", "route", "hour")
+    out, _ = day_shards(t)
+    return E.read_day(t.spark, out, date(2024, 1, 10), ["click", "view"]).select("event_id", "route", "hour")
+
+
+@query("day_shard_manifest", "S6", """SELECT date, count(*) AS events, count(*) FILTER (success) AS successful FROM validations GROUP BY ALL""", "validations")
+def _(t):
+    return day_shards(t)[1].select("date", "events", "successful")
+
+
+@query("busy_days_read", "S6", """WITH d AS (SELECT date, count(*) AS n FROM validations GROUP BY ALL) SELECT date, route, count(*) AS events, count(*) FILTER (success) AS successful FROM validations
+WHERE date IN (SELECT date FROM d WHERE n > (SELECT avg(n) FROM d)) GROUP BY ALL""", "validations")
+def _(t):
+    out, days = day_shards(t)
+    mean = days.agg(F.avg("events").alias("mean"))
+    busy = days.crossJoin(mean).where("events > mean")
+    return E.read_days(t.spark, out, busy).groupBy("date", "route").agg(F.count(F.lit(1)).alias("events"), F.count_if("success").alias("successful"))
+
+
+def ingest_outputs(t):
+    rows = verdicts(t).withColumn("stream", F.coalesce("route_id", F.lit("unknown")))
+    clash = F.col("verdict") == "conflict"
+    bad = rows.where(F.col("problem").isNotNull() | clash)
+    raw = F.to_json(F.struct("event_id", "route_id", "payload"))
+    quarantine = bad.select("stream", "row_index", F.coalesce("problem.reason", F.lit("conflicting_duplicate")).alias("reason"),
+                            F.coalesce("problem.detail", F.lit("payload differs from the first")).alias("detail"), raw.alias("raw"))
+    out = scratch(t.spark, "ingest-outputs")
+    return out, E.write_ingest(rows.where("verdict = 'new'").select("stream", "row_index", "event_id", "payload"), quarantine, out)
+
+
+@query("ingest_output_manifest", "S5", f"""WITH {VERDICT_SQL} SELECT CASE WHEN verdict='new' THEN 'valid' ELSE 'quarantine' END AS kind, route_id AS stream, count(*) AS rows
+FROM verdicts WHERE problem_text IS NOT NULL OR verdict IN ('new','conflict') GROUP BY ALL""")
+def _(t):
+    return ingest_outputs(t)[1].select("kind", "stream", "rows")
+
+
+@query("quarantine_read", "S5", f"""WITH {VERDICT_SQL} SELECT row_index, route_id AS stream, CASE WHEN verdict='conflict' THEN 'conflicting_duplicate' ELSE split_part(problem_text, ':', 1) END AS reason
+FROM verdicts WHERE problem_text IS NOT NULL OR verdict='conflict'""")
+def _(t):
+    out, _ = ingest_outputs(t)
+    return E.read_quarantine(t.spark, out).select("row_index", "stream", "reason")
+
+
+@query("file_inventory", "S7")
+def _(t):
+    return E.file_inventory(t.spark, f"{t.dir}/lineitem.parquet")

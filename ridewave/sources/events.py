@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridewave.operators.joins import require
+from ridewave.session import reliable_checkpoint
 
 LABEL_SCHEMA = T.StructType([
     T.StructField("route", T.IntegerType()), T.StructField("date", T.DateType()),
@@ -98,45 +99,97 @@ def read_events_csv(spark: SparkSession, path: str, header: Sequence[str], sep:
     return parse_csv_lines(lines, header, sep=sep)
 
 
-def write_ingest(valid: DataFrame, quarantine: DataFrame, out: str) -> None:
-    """Valid rows per stream and quarantine rows with reason, detail and raw text."""
-    valid.write.mode("overwrite").partitionBy("stream").json(f"{out}/valid")
-    quarantine.select("stream", "row_index", "reason", "detail", "raw").write.mode(
-        "overwrite").partitionBy("stream").json(f"{out}/quarantine")
-
-
-def write_day_shards(df: DataFrame, out: str, expected: DataFrame | None = None) -> DataFrame:
-    """Event store partitioned by date; the source-hour mass is compared after the write.
+def write_ingest(valid: DataFrame, quarantine: DataFrame, out: str) -> DataFrame:
+    """Valid rows per stream, and quarantine rows with reason, detail and raw text, as JSON lines; then a manifest of what stands there.
 
-    Rows are spread by date and a hash of the event key, so one busy day is written by many
-    tasks.  Returns route-hours whose mass differs from ``expected`` (empty when conserved).
+    The manifest (kind, stream, files, rows) is counted from the written files and compared with the rows handed in; any
+    difference stops the run before the manifest is written, so a folder with a manifest is whole.
+    """
+    spark = valid.sparkSession
+    valid.write.mode("overwrite").partitionBy("stream").json(f"{out}/valid")
+    quarantine.select("stream", "row_index", "reason", "detail", "raw").write.mode("overwrite").partitionBy("stream").json(f"{out}/quarantine")
+    parts = []
+    for kind, given in (("valid", valid), ("quarantine", quarantine)):
+        # a folder without any row has no partition to find the stream in
+        lines = spark.read.schema(T.StructType([*[f for f in given.schema.fields if f.name != "stream"], T.StructField("stream", given.schema["stream"].dataType)])).json(f"{out}/{kind}")
+        stored = lines.select("stream", F.col("_metadata.file_name").alias("file")).groupBy("stream").agg(
+            F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("rows"))
+        handed = given.groupBy("stream").agg(F.count(F.lit(1)).alias("handed"))
+        both = stored.withColumnRenamed("stream", "_s").join(handed, F.col("_s").eqNullSafe(F.col("stream")), "full")
+        both = require(both, ~F.col("rows").eqNullSafe(F.col("handed")), "written rows differ from the rows handed in")
+        parts.append(both.select(F.lit(kind).alias("kind"), "stream", "files", "rows"))
+    parts[0].unionByName(parts[1]).write.mode("overwrite").parquet(f"{out}/manifest")
+    return spark.read.parquet(f"{out}/manifest")
+
+
+def read_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("row_index bigint, reason string, detail string, raw string, stream string").json(f"{out}/quarantine")
+
+
+def write_day_shards(df: DataFrame, out: str, expected: DataFrame | None = None, spread: int = 16) -> DataFrame:
+    """Event store partitioned by date, with a manifest; the source-hour mass is compared after the write.
+
+    Rows are dealt by date and a hash of the event key, so one busy day is written by ``spread`` tasks.  Route-hours whose stored
+    mass differs from ``expected`` (the rows themselves by default) stop the run.  Returns the manifest: date, files, events, successful and
+    an order-free digest of the day's event keys.
     """
-    parts = F.pmod(F.xxhash64("event_key"), F.lit(16))
-    df.withColumn("_spread", parts).repartition("date", "_spread").drop("_spread").write.mode(
-        "overwrite").partitionBy("date").parquet(out)
-    stored = df.sparkSession.read.parquet(out).groupBy("route", "date", "hour").agg(
-        F.sum(F.col("success").cast("bigint")).alias("stored"))
-    if expected is None:
-        expected = df.groupBy("route", "date", "hour").agg(
-            F.sum(F.col("success").cast("bigint")).alias("source"))
-    return stored.join(expected, ["route", "date", "hour"], "full").where(
-        F.coalesce("stored", F.lit(0)) != F.coalesce("source", F.lit(0)))
-
-
-def read_day(spark: SparkSession, path: str, day: date, routes: Sequence[str] = ()) -> DataFrame:
+    parts = F.pmod(F.xxhash64("event_key"), F.lit(spread))
+    df.withColumn("_spread", parts).repartition("date", "_spread").drop("_spread").write.mode("overwrite").partitionBy("date").parquet(f"{out}/days")
+    stored = df.sparkSession.read.schema(df.schema).parquet(f"{out}/days")
+    mass = lambda rows, name: rows.groupBy("route", "date", "hour").agg(F.sum(F.col("success").cast("bigint")).alias(name))
+    wanted = (mass(df, "source") if expected is None else expected).withColumnsRenamed({x: "_" + x for x in ("route", "date", "hour")})
+    same = F.col("route").eqNullSafe(F.col("_route")) & F.col("date").eqNullSafe(F.col("_date")) & F.col("hour").eqNullSafe(F.col("_hour"))
+    wrong = mass(stored, "stored").join(wanted, same, "full").agg(
+        F.count_if(F.coalesce("stored", F.lit(0)) != F.coalesce("source", F.lit(0))).alias("wrong"))
+    days = stored.groupBy("date").agg(F.count_distinct("_metadata.file_name").alias("files"), F.count(F.lit(1)).alias("events"), F.count_if("success").alias("successful"),
+                                      F.sum(F.xxhash64("event_key").cast("decimal(38,0)")).cast("string").alias("key_digest"))
+    checked = days.crossJoin(require(wrong, F.col("wrong") > 0, "source-hour conservation failed"))  # one row
+    checked.drop("wrong").write.mode("overwrite").parquet(f"{out}/manifest")
+    return df.sparkSession.read.parquet(f"{out}/manifest")
+
+
+def read_day(spark: SparkSession, out: str, day: date, routes: Sequence[str] = ()) -> DataFrame:
     """One day of the event store: one partition directory, route filter pushed to the scan."""
-    rows = spark.read.parquet(path).where(F.col("date") == F.lit(day))
+    rows = spark.read.parquet(f"{out}/days").where(F.col("date") == F.lit(day))
     return rows.where(F.col("route").isin(list(routes))) if routes else rows
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str = "*", digest_limit: int = 256 << 20) -> DataFrame:
-    """Bytes and SHA-256 per file.  A file over ``digest_limit`` bytes is listed without a digest,
-    because its digest needs the whole file in one task; :func:`row_inventory` covers it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    listed = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
-    digests = files.where(F.col("length") <= digest_limit).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    return listed.join(digests, "file", "left")
+def read_days(spark: SparkSession, out: str, days: DataFrame) -> DataFrame:
+    """The days that ``days`` (date) names, found while the query runs: Spark prunes the other partitions dynamically."""
+    return spark.read.parquet(f"{out}/days").join(days.select("date").distinct(), "date")
+
+
+def file_inventory(spark: SparkSession, path: str, glob: str = "*", fanout: int = 1024) -> DataFrame:
+    """Bytes, lines and a tree digest (SHA-256) of each file of any size.
+
+    Files are read in byte ranges, each by a task of its own.  The leaves of a file's tree are the digests of its lines (anything between
+    line feeds, so binary files have lines too) in order; a node digests ``fanout`` digests below it, whatever ranges
+    they were read in; the file's digest is that of its root and length.  So no task holds more than a line or a node.  Spark
+    lists no empty files, so they have no row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("bytes"))
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    leaves = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                          F.monotonically_increasing_id().alias("place"), F.sha2(F.col("value").cast("binary"), 256).alias("digest"))
+    leaves = reliable_checkpoint(leaves)  # the places are those of one reading
+    ranges = leaves.groupBy("path", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counted = ranges.groupBy("path").agg(F.sum("n").alias("lines"))
+    most = counted.agg(F.max("lines")).first()[0] or 1
+    nodes = leaves.join(ranges.join(counted, "path"), ["path", "at"]).select(
+        "path", (F.col("place") + F.col("base") - F.col("first")).alias("number"), F.col("lines").alias("left"), "digest")
+    first = True
+    while first or most > 1:
+        below = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"]), "")
+        node = F.sha2(below, 256) if first else F.when(F.max("left") > 1, F.sha2(below, 256)).otherwise(below)  # a root stays
+        nodes = nodes.groupBy("path", F.floor(F.col("number") / fanout).alias("up")).agg(
+            node.alias("digest"), F.max(F.ceil(F.col("left") / fanout)).alias("left")).withColumnRenamed("up", "number")
+        most, first = -(-most // fanout), False
+    whole = files.join(counted.join(nodes.select("path", "digest"), "path").withColumnRenamed("path", "_path"),
+                       F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("_path", "^file:/+", "/"), "left")
+    root = F.concat(F.coalesce("digest", F.lit("")), F.lit(":"), F.col("bytes").cast("string"))
+    return whole.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"), F.sha2(root, 256).alias("tree_sha256"))
 
 
 def row_inventory(df: DataFrame) -> DataFrame:

@@ -243,18 +243,65 @@ def test_sources_and_sinks(spark, tmp_path):
     head.write_bytes("﻿id,name\n1,a\n2\n".encode())
     out = E.read_events_csv(spark, str(head), ["id", "name"])
     assert sorted(r[0] or "" for r in out.select("problem.detail").collect()) == ["", "expected 2 columns, got 1"]
-    inv = {r["file"]: r for r in E.file_inventory(spark, str(tmp_path), "*.csv").collect()}
+
+
+def tree_by_force(data, fanout):
     import hashlib
-    assert inv["a.csv"]["sha256"] == hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    lines = data.split(b"\n")
+    lines = lines[:-1] if not lines[-1] else lines
+    level = [sha(x) for x in lines]
+    while level:
+        level = [sha("".join(level[i:i + fanout]).encode()) for i in range(0, len(level), fanout)]
+        if len(level) == 1:
+            break
+    return len(lines), sha(f"{level[0] if level else ''}:{len(data)}".encode())
+
+
+@pytest.mark.parametrize("block", ["128m", "3k"])
+def test_file_inventory_by_ranges(spark, tmp_path, block):
+    """Files of many byte ranges, without a last line feed, and binary: the same digest however they are split."""
+    rng = random.Random(6)
+    files = {"a.csv": b"id,name\n1,a\n2\n", "empty.csv": b"", "one.csv": b"x" * 9000, "bytes.csv": bytes(rng.randrange(256) for _ in range(30_000)),
+             "long.csv": b"".join(b"%d,%s\r\n" % (i, b"y" * (i % 37)) for i in range(4000)), "end.csv": b"\n\n\n", "other.txt": b"no"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    keys = {"spark.sql.files.maxPartitionBytes": block, "spark.sql.files.openCostInBytes": "1k", "spark.sql.files.minPartitionNum": "64" if block == "3k" else "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["file"]: (r["bytes"], r["lines"], r["tree_sha256"]) for r in E.file_inventory(spark, str(tmp_path), "*.csv", 16).collect()}
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert got == {n: (len(d), *tree_by_force(d, 16)) for n, d in files.items() if d and n.endswith(".csv")}
 
 
 def test_day_shards_prune_and_conserve(spark, tmp_path):
-    ev = spark.createDataFrame([(f"k{i}", "r1" if i % 2 else "r2", date(2024, 1, 1 + i % 3), i % 24, True) for i in range(90)],
+    ev = spark.createDataFrame([(f"k{i}", "r1" if i % 2 else "r2", date(2024, 1, 1 + i % 3), i % 24, i % 5 > 0) for i in range(90)],
                                "event_key string, route string, date date, hour int, success boolean")
-    assert E.write_day_shards(ev, str(tmp_path / "days")).count() == 0
-    one = E.read_day(spark, str(tmp_path / "days"), date(2024, 1, 2), ["r1"])
+    out = str(tmp_path / "days")
+    days = E.write_day_shards(ev, out)
+    assert rows(days, "date", "events", "successful") == rows(ev.groupBy("date").agg(F.count(F.lit(1)), F.count_if("success")))
+    one = E.read_day(spark, out, date(2024, 1, 2), ["r1"])
     assert one.count() == ev.where("date = DATE'2024-01-02' AND route = 'r1'").count()
     assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()
+    some = E.read_days(spark, out, days.where("successful = (SELECT max(successful) FROM VALUES (24) AS t(successful))"))
+    assert {r["date"] for r in some.collect()} <= {date(2024, 1, d) for d in (1, 2, 3)} and "dynamicpruning" in some._jdf.queryExecution().toString()
+    picked = E.read_days(spark, out, days.where("date_format(date, 'dd') = '03'"))
+    assert rows(picked, "event_key") == rows(ev.where("date = DATE'2024-01-03'"), "event_key")
+    wrong = ev.groupBy("route", "date", "hour").agg(F.lit(9).cast("bigint").alias("source"))
+    with pytest.raises(Exception, match="conservation"):
+        E.write_day_shards(ev, str(tmp_path / "bad"), wrong)
+
+
+def test_ingest_outputs_and_manifest(spark, tmp_path):
+    valid = spark.createDataFrame([("s1", 1, "a"), ("s1", 2, "b"), ("s2", 3, None)], "stream string, row_index bigint, v string")
+    bad = spark.createDataFrame([("s2", 4, "decode_error", "invalid JSON", '{"x"')], "stream string, row_index bigint, reason string, detail string, raw string")
+    manifest = E.write_ingest(valid, bad, str(tmp_path / "o"))
+    assert rows(manifest, "kind", "stream", "rows") == [("quarantine", "s2", 1), ("valid", "s1", 2), ("valid", "s2", 1)]
+    assert rows(E.read_quarantine(spark, str(tmp_path / "o")), "raw", "stream") == [('{"x"', "s2")]
+    assert E.write_ingest(valid.limit(0), bad.limit(0), str(tmp_path / "none")).count() == 0
 
 
 def line_check(batch):
