@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridewave.operators.blocks import exact_quantiles, nearest_distance
-from ridewave.operators.joins import range_join, require
+from ridewave.operators.joins import require
+from ridewave.operators.mapping import active_segments, look_up
 
 c = F.col
 CAP = 300.0
@@ -79,41 +82,29 @@ def guarded_shift(events: DataFrame, clocks: DataFrame, keys: Sequence[str], hal
 
 
 def clock_directions(events: DataFrame, spans: DataFrame, clocks: DataFrame, keys: Sequence[str], shift: int = 0,
-                     second: str = "sec", event_key: str = "event_id") -> DataFrame:
+                     second: str = "sec") -> DataFrame:
     """Direction of an event from its only active trip when the closest clock (<= 60 s) agrees."""
-    moved = spans.withColumn("first_clock", c("first_clock") + shift).withColumn("last_clock", c("last_clock") + shift)
-    active = range_join(events.select(event_key, *keys, second), moved.select(*keys, "trip_id", "direction", "first_clock", "last_clock"),
-                        keys, second, "first_clock", "last_clock", bucket=1800, inclusive_end=True)
-    one = active.groupBy(event_key).agg(F.count(F.lit(1)).alias("_trips"), F.max("direction").alias("_trip_direction"))
-    out = events
+    segments = active_segments(spans, keys, "first_clock", "last_clock", ["direction"], shifts=(-shift,))
+    out = look_up(events, segments, keys, second, ["n0", "direction0"])
     for d in (0, 1):
         side = clocks.where(c("direction") == d)
         out = nearest_errors(out, side, keys, second, shift=shift).withColumnRenamed("error", f"_e{d}")
-    joined = out.join(one, event_key, "left")
     far = F.lit(10 ** 9)
     e0, e1 = F.coalesce("_e0", far), F.coalesce("_e1", far)
     selected = F.when(e0 < e1, 0).otherwise(1)
-    fine = (c("_trips") == 1) & (F.least(e0, e1) <= 60) & (e0 != e1) & (selected == c("_trip_direction"))
-    return joined.select(*events.columns, F.when(F.coalesce(fine, F.lit(False)), selected).otherwise(-1).alias("clock_direction"))
+    fine = (c("right_n0") == 1) & (F.least(e0, e1) <= 60) & (e0 != e1) & (selected == c("right_direction0"))
+    return out.select(*events.columns, F.when(F.coalesce(fine, F.lit(False)), selected).otherwise(-1).alias("clock_direction"))
 
 
-def enroll_stability(events: DataFrame, spans: DataFrame, keys: Sequence[str], second: str = "sec", event_key: str = "event_id",
+def enroll_stability(events: DataFrame, spans: DataFrame, keys: Sequence[str], second: str = "sec",
                      shifts: Sequence[int] = (0, -300, 300, -900, 900)) -> DataFrame:
     """Per event: trips at zero shift and whether trip and direction stay unique at +-300 and +-900 s."""
-    moved = events.select(event_key, *keys, second, F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift")).withColumn(
-        "_at", c(second) + c("shift"))
-    hits = range_join(moved, spans.select(*keys, "direction", "first_clock", "last_clock"), keys, "_at", "first_clock", "last_clock",
-                      bucket=1800, inclusive_end=True)
-    per = hits.groupBy(event_key, "shift").agg(F.count(F.lit(1)).alias("n"), F.max("direction").alias("d"))
-    wide = per.groupBy(event_key).agg(
-        *[F.max(F.when(c("shift") == s, c("n"))).alias(f"n{i}") for i, s in enumerate(shifts)],
-        *[F.max(F.when(c("shift") == s, c("d"))).alias(f"d{i}") for i, s in enumerate(shifts)])
-    rows = events.join(wide, event_key, "left")
-    n = [F.coalesce(c(f"n{i}"), F.lit(0)) for i in range(5)]
-    s300 = (n[0] == 1) & (n[1] == 1) & (n[2] == 1) & (c("d0") == c("d1")) & (c("d0") == c("d2"))
-    s900 = s300 & (n[3] == 1) & (n[4] == 1) & (c("d0") == c("d3")) & (c("d0") == c("d4"))
-    return rows.select(*events.columns, n[0].alias("trips"), F.coalesce(s300, F.lit(False)).alias("stable300"),
-                       F.coalesce(s900, F.lit(False)).alias("stable900"))
+    segments = active_segments(spans, keys, "first_clock", "last_clock", ["direction"], shifts=shifts)
+    same = lambda part: reduce(and_, [(c(f"n{i}") == 1) & (c(f"direction{i}") == c("direction0")) for i in part])
+    judged = segments.select(*keys, "at", "n0", same(range(3)).alias("stable300"), same(range(5)).alias("stable900"))
+    rows = look_up(events, judged, keys, second, ["n0", "stable300", "stable900"])
+    return rows.select(*events.columns, F.coalesce("right_n0", F.lit(0)).cast("bigint").alias("trips"),
+                       F.coalesce("right_stable300", F.lit(False)).alias("stable300"), F.coalesce("right_stable900", F.lit(False)).alias("stable900"))
 
 
 def select_direction(costs: DataFrame, keys: Sequence[str], margin: float = 15.0) -> DataFrame:

@@ -52,6 +52,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], second
         *df.columns, (F.sum(value).over(inner) + F.col("_base")).alias(name))
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], second: str, values: Sequence[str], block_seconds: int = 86400) -> DataFrame:
+    """Running totals of several columns per key, one row a second, in their own places."""
+    blocked = with_block(df, second, block_seconds)
+    inner = Window.partitionBy(*keys, BLOCK).orderBy(second).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias("_" + v) for v in values])
+    bases = totals.select(*keys, BLOCK, *[F.coalesce(F.sum("_" + v).over(before), F.lit(0)).alias("_" + v) for v in values])
+    return blocked.join(bases, [*keys, BLOCK]).select(*[
+        (F.sum(x).over(inner) + F.col("_" + x)).alias(x) if x in values else F.col(x) for x in df.columns])
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], second: str,
               name: str = "row_index", block_seconds: int = 3600) -> DataFrame:
     """Zero-based position per key in ``order``."""

@@ -452,3 +452,37 @@ def test_discovered_schema_names_gaps():
     from ridewave.operators.intake import discover_schema
     got = discover_schema(["id", "line", "extra", "extra"], ["event_id", "route_id", "unit"], {"event_id": "id", "route_id": "gone"}, ["unit"])
     assert got["never_seen"] == ["gone"] and got["constants"] == ["unit"] and got["repeated"] == ["extra"] and "line" in got["unused"]
+
+
+@pytest.mark.parametrize("name", [False, True])
+def test_enrolment_by_segments_equals_every_pair(spark, name):
+    """Trips that overlap, touch, repeat, are empty or have no duty; events on both edges, without a duty, of a hot duty."""
+    rng = random.Random(12)
+    trips = [(rng.choice(["hot", "hot", "a", "b"]), 100 + i, i % 2, s := rng.randrange(0, 200_000), s + rng.choice([-5, 0, 60, 4000, 30_000])) for i in range(120)]
+    trips += [trips[0], ("a", 500, 0, 10, 20), ("a", 501, 1, 20, 30), (None, 502, 0, 0, 10 ** 6)]
+    edges = [x for t in trips for x in (t[3], t[4], t[4] + 1)]
+    events_ = [(i, rng.choice(["hot", "hot", "a", "b", "z", None]), rng.choice(edges) if i % 2 else rng.randrange(-10, 240_000)) for i in range(1500)]
+    spans = spark.createDataFrame(trips, "duty string, trip_id bigint, direction int, first_clock bigint, last_clock bigint")
+    if name:
+        spans = spans.withColumn("trip_id", F.concat(F.lit("t"), c("trip_id").cast("string")))
+    events = spark.createDataFrame(events_, "event_id bigint, duty string, sec bigint")
+
+    def active(duty, at, inclusive=True):
+        return [t for t in trips if t[0] is not None and t[0] == duty and t[3] <= at and (at <= t[4] if inclusive else at < t[4])]
+
+    for inclusive in (True, False):
+        want = []
+        for i, duty, at in events_:
+            hits = active(duty, at, inclusive)
+            only = hits[0][1] if len(hits) == 1 else None
+            want.append((i, len(hits), f"t{only}" if name and only else only))
+        out = M.enroll(events, spans, inclusive=inclusive)
+        assert rows(out, "event_id", "trips", "trip_id") == sorted(want)
+    from ridewave.operators import audits as A
+    stable = {r["event_id"]: r for r in A.enroll_stability(events, spans, ["duty"]).collect()}
+    for i, duty, at in events_:
+        found = [active(duty, at + s) for s in (0, -300, 300, -900, 900)]
+        ok = [len(f) == 1 and len(found[0]) == 1 and f[0][2] == found[0][0][2] for f in found]
+        assert (stable[i]["trips"], stable[i]["stable300"], stable[i]["stable900"]) == (len(found[0]), all(ok[:3]), all(ok))
+    plan = M.enroll(events, spans)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" not in plan
