@@ -171,7 +171,9 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 40, batch:
     mean, scale = tx.mean(0), tx.std(0) + 1e-3
     net = Network(mean, scale, rng.normal(0, width ** -0.5, (width, hidden)).astype(np.float32), np.zeros(hidden, np.float32),
                   rng.normal(0, hidden ** -0.5, hidden).astype(np.float32), 0.0)
-    z = ((tx - mean) / scale).astype(np.float32)
+    tx -= mean
+    tx /= scale
+    z = tx.astype(np.float32, copy=False)
     params = [net.w1, net.b1, net.w2, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(rounds):
@@ -229,9 +231,20 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", samp
             x = features(utf8(batch), shared.value)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["place", "label", "x"])
 
-    rows = sample.select("place", "text", "label").mapInArrow(pooled, "place long, label int, x binary").toPandas().sort_values(["place", "label"], kind="stable")
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 3 * DIMENSION + 1), np.float32)
-    return contexts, fit(x, rows["label"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64))
+    rows = sample.select("place", "text", "label").mapInArrow(pooled, "place long, label int, x binary").toArrow()
+    shared.destroy()
+    y = rows["label"].to_numpy().astype(np.int64)
+    x = np.zeros((len(y), 3 * DIMENSION + 1), np.float32)
+    for i, value in enumerate(rows["x"]):
+        x[i] = np.frombuffer(value.as_buffer(), np.float32)
+    order = np.lexsort((y, rows["place"].to_numpy()))
+    del rows
+    x, y = x[order], y[order]
+    give_back()
+    network = fit(x, y)
+    del x
+    give_back()
+    return contexts, network
 
 
 def scorer(documents: DataFrame, labels: DataFrame, **training):
