@@ -33,8 +33,9 @@ def calibration_losses(events: DataFrame, clocks: DataFrame, keys: Sequence[str]
     matter, so events meet clocks through time buckets and everything else counts as the cap."""
     reach = int(cap)
     grid = F.array(*[F.lit(s) for s in shifts])
-    moved = events.select(*keys, second, F.explode(grid).alias("shift")).withColumn("_at", c(second) - c("shift"))
-    moved = moved.groupBy(*keys, "shift", "_at").agg(F.count(F.lit(1)).alias("n"))
+    # events of one second are counted first: no event is copied, a second is
+    counted = events.groupBy(*keys, second).agg(F.count(F.lit(1)).alias("n"))
+    moved = counted.select(*keys, "n", c(second).alias("_sec"), F.explode(grid).alias("shift")).select(*keys, "shift", (c("_sec") - c("shift")).alias("_at"), "n")
     wide = clocks.select(*keys, c(clock).alias("_c")).distinct().withColumn("_k", F.explode(F.sequence(
         F.floor((c("_c") - reach) / reach), F.floor((c("_c") + reach) / reach))))
     near = moved.withColumn("_k", F.floor(c("_at") / reach)).join(wide, [*keys, "_k"]).groupBy(*keys, "shift", "_at").agg(
@@ -287,20 +288,22 @@ def select_cohort(ledger: DataFrame, splits: Sequence[tuple[str, date, date]]) -
                                                     c("friday").isNotNull().alias("whole_block")).join(ends, how="cross")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: int = 20260927,
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: int = 7,
                       by: Sequence[str] = ()) -> DataFrame:
     """Percentile interval of the mean under resampling of whole clusters.
 
-    Rows are first summed per cluster, so a resample draws from as many rows as there are
-    clusters (dates).  Draw j of resample r is a hash, so reruns agree.
+    Rows are first summed per cluster (a date).  A resample of k clusters draws k times; draw j of resample r is the md5 of (seed, r, j), so
+    reruns and other engines agree.  How often a resample draws each cluster depends on k alone: these weights are made once for all
+    groups of k clusters, and one aggregate applies them to the cluster sums.
     """
     sums = df.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     order = Window.partitionBy(*by).orderBy(cluster)
-    ranked = sums.withColumn("_i", F.row_number().over(order) - 1).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    size = ranked.select(*by, "_k").distinct().where("_k >= 2")
-    draws = size.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), c("_k") - 1))).withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_r", "_j"), c("_k")).cast("int"))
-    mean = draws.join(ranked.drop("_k"), [*by, "_i"]).groupBy(*by, "_r").agg((F.sum("_s") / F.sum("_n")).alias("_m"))
+    ranked = sums.withColumn("_i", F.row_number().over(order).cast("bigint") - 1).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    name = F.concat_ws(":", F.lit(str(seed)), c("_r").cast("string"), c("_j").cast("string"))
+    draw = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % c("_k")
+    weights = ranked.select("_k").distinct().where("_k >= 2").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), (c("_k") - 1).cast("int")))).groupBy("_k", "_r", draw.alias("_i")).agg(F.count(F.lit(1)).alias("_w"))
+    mean = ranked.join(weights, ["_k", "_i"]).groupBy(*by, "_r").agg(F.try_divide(F.sum(c("_w") * c("_s")), F.sum(c("_w") * c("_n"))).alias("_m"))
     return mean.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"),
                                  F.count(F.lit(1)).alias("resamples"))
 

@@ -360,15 +360,14 @@ def _(t):
     return G.departure_histogram(t.trip_spans)
 
 
-SHIFTS = (-600, -300, 0, 300, 600)
-LOSS_SQL = f"""{ABS_SQL}, sh AS (SELECT unnest([-600,-300,0,300,600]) AS shift), er AS (SELECT v.device AS duty, v.event_id, v.date, shift, least(coalesce(min(abs(v.sec-s.clock-shift)),300),300) AS e FROM validations v CROSS JOIN sh LEFT JOIN ast s ON s.duty=v.device AND abs(v.sec-s.clock-shift)<=300 GROUP BY ALL),
+LOSS_SQL = f"""{ABS_SQL}, sh AS (SELECT unnest(range(-1800, 1801, 30)) AS shift), er AS (SELECT v.device AS duty, v.event_id, v.date, shift, least(coalesce(min(abs(v.sec-s.clock-shift)),300),300) AS e FROM validations v CROSS JOIN sh LEFT JOIN ast s ON s.duty=v.device AND abs(v.sec-s.clock-shift)<=300 GROUP BY ALL),
  ls AS (SELECT duty, shift, avg(e) AS loss, count(*) AS events FROM er GROUP BY ALL)"""
 
 
 @query("shift_calibration", "A63", f"""WITH {LOSS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY duty ORDER BY loss, abs(shift), shift) AS r FROM ls), k AS (SELECT * FROM b WHERE r=1)
-SELECT k.duty, CAST(k.shift AS INT) AS shift, round(k.loss,6) AS loss, k.events, CAST(min(l.shift) AS INT) AS near_low, CAST(max(l.shift) AS INT) AS near_high, count(*) AS near_count, false AS at_bound FROM k JOIN ls l ON l.duty=k.duty AND l.loss<=k.loss+5 GROUP BY ALL""", USES)
+SELECT k.duty, CAST(k.shift AS INT) AS shift, round(k.loss,6) AS loss, k.events, CAST(min(l.shift) AS INT) AS near_low, CAST(max(l.shift) AS INT) AS near_high, count(*) AS near_count, abs(k.shift)=1800 AS at_bound FROM k JOIN ls l ON l.duty=k.duty AND l.loss<=k.loss+5 GROUP BY ALL""", USES)
 def _(t):
-    losses = A.calibration_losses(events(t), clocks(t), ["duty"], SHIFTS)
+    losses = A.calibration_losses(events(t), clocks(t), ["duty"])
     return rounded_all(A.calibrate_shift(losses, ["duty"]))
 
 
@@ -378,7 +377,7 @@ def _(t):
  q AS (SELECT *, CASE WHEN na<10 OR nb<10 THEN 'insufficient_early_halves' WHEN ra>120 OR rb>120 THEN 'ambiguous_early_shift' WHEN abs(sa-sb)>60 OR abs(fs-sa)>60 THEN 'unstable_early_shift' WHEN coalesce(gain,0)<5 THEN 'no_early_validation_gain' ELSE 'accepted' END AS reason FROM j)
 SELECT duty, CAST(CASE WHEN reason='accepted' THEN fs ELSE 0 END AS INT) AS shift, reason, na AS first_events, nb AS second_events, round(gain,6) AS gain FROM q""", USES)
 def _(t):
-    return rounded_all(A.guarded_shift(events(t), clocks(t), ["duty"], c("date") < F.lit(date(2024, 1, 16)), SHIFTS))
+    return rounded_all(A.guarded_shift(events(t), clocks(t), ["duty"], c("date") < F.lit(date(2024, 1, 16))))
 
 
 @query("clock_directions", "A65", f"""WITH {ABS_SQL}, e0 AS (SELECT v.event_id, min(abs(v.sec-s.clock)) FILTER (s.direction=0) AS a, min(abs(v.sec-s.clock)) FILTER (s.direction=1) AS b FROM validations v LEFT JOIN ast s ON s.duty=v.device AND abs(v.sec-s.clock)<=100000000 GROUP BY ALL),
@@ -408,9 +407,12 @@ def _(t):
     return A.select_direction(rows, ["duty"]).withColumn("least_margin", rnd("least_margin", 7))
 
 
-@query("bootstrap_interval", "A61")
+@query("bootstrap_interval", "A61", """WITH s AS (SELECT route, date, sum(value) AS s, count(value) AS n FROM validations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY date)-1 AS i, count(*) OVER (PARTITION BY route) AS k FROM s),
+ d AS (SELECT k, r, unnest(range(k)) AS j FROM (SELECT DISTINCT k FROM r WHERE k>=2), (SELECT unnest(range(2000)) AS r)), w AS (SELECT k, r, CAST('0x' || substr(md5('7:' || r || ':' || j),1,8) AS BIGINT) % k AS i, count(*) AS w FROM d GROUP BY ALL),
+ m AS (SELECT route, w.r, sum(w*s)/sum(w*n) AS m FROM r JOIN w ON w.k=r.k AND w.i=r.i GROUP BY ALL)
+SELECT route, round(quantile_cont(m,0.025),6) AS low, round(quantile_cont(m,0.975),6) AS high, count(*) AS resamples FROM m GROUP BY route""", "validations")
 def _(t):
-    return rounded_all(A.cluster_bootstrap(t.validations, "date", "value", 400, by=["route"]))
+    return rounded_all(A.cluster_bootstrap(t.validations, "date", "value", by=["route"]))
 
 
 @query("paired_summary", "A62", """SELECT l_returnflag, count(*) AS rows, count(*) FILTER (l_linenumber<>7) AS paired, count(*) FILTER (l_linenumber<>7 AND l_quantity<l_partkey%50) AS wins, count(*) FILTER (l_linenumber<>7 AND l_quantity=l_partkey%50) AS ties, count(*) FILTER (l_linenumber<>7 AND l_quantity>l_partkey%50) AS losses,
@@ -423,7 +425,7 @@ def _(t):
 @query("calibration_summary", "A81", f"""WITH {LOSS_SQL}, b AS (SELECT duty, min(loss) AS fit, max(loss) FILTER (shift=0) AS zero, max(loss) FILTER (shift=600) AS wrong, max(events) AS ev FROM ls GROUP BY ALL)
 SELECT duty % 3 AS band, count(*) AS groups, count(*) FILTER (zero-fit>=5) AS accepted, round(avg(zero-fit),6) AS mean_gain, round(avg(wrong-fit),6) AS wrong_key_contrast, round(avg(fit),6) AS group_mean_loss, round(sum(fit*ev)/sum(ev),6) AS event_weighted_loss FROM b GROUP BY ALL""", USES)
 def _(t):
-    losses = A.calibration_losses(events(t), clocks(t), ["duty"], SHIFTS)
+    losses = A.calibration_losses(events(t), clocks(t), ["duty"])
     rows = losses.groupBy("duty").agg(F.min("loss").alias("fitted_loss"), F.max(F.when(c("shift") == 0, c("loss"))).alias("zero_loss"),
                                       F.max(F.when(c("shift") == 600, c("loss"))).alias("wrong_loss"), F.max("events").alias("events"))
     rows = rows.withColumn("reason", F.when(c("zero_loss") - c("fitted_loss") >= 5, "accepted").otherwise("no_gain")).withColumn("band", c("duty") % 3)
