@@ -245,26 +245,26 @@ def _(t):
     return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("hours"))
 
 
-WIN_SQL = """wi AS (SELECT DISTINCT route, date AS "start", date + CASE WHEN k % 3=0 THEN 2 ELSE 1 END AS "end" FROM validations WHERE k>=85)"""
+WIN_SQL = """wi AS (SELECT DISTINCT route, device, date AS "start", date + CASE WHEN k % 3=0 THEN 2 ELSE 1 END AS "end" FROM validations)"""
 
 
 def windows(t):
-    return t.validations.where("k >= 85").select("route", c("date").alias("start"), F.date_add("date", F.when(c("k") % 3 == 0, 2).otherwise(1)).alias("end")).distinct()
+    return t.validations.select("route", "device", c("date").alias("start"), F.date_add("date", F.when(c("k") % 3 == 0, 2).otherwise(1)).alias("end")).distinct()
 
 
-@query("merged_windows", "W28", f"""WITH {WIN_SQL}, r AS (SELECT *, max("end") OVER (PARTITION BY route ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM wi), g AS (SELECT *, sum(CASE WHEN p IS NULL OR "start">p THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM r) SELECT route, min("start") AS "start", max("end") AS "end" FROM g GROUP BY route, i""", "validations")
+@query("merged_windows", "W28", f"""WITH {WIN_SQL}, r AS (SELECT *, max("end") OVER (PARTITION BY route, device ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM wi), g AS (SELECT *, sum(CASE WHEN p IS NULL OR "start">p THEN 1 ELSE 0 END) OVER (PARTITION BY route, device ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS i FROM r) SELECT route, device, min("start") AS "start", max("end") AS "end" FROM g GROUP BY route, device, i""", "validations")
 def _(t):
-    return X.merge_windows(windows(t), ["route"])
+    return X.merge_windows(windows(t), ["route", "device"])
 
 
-@query("event_coverage", "A75", f"""WITH {PREC_SQL}, {WIN_SQL}, inw AS (SELECT DISTINCT pr.event_id, precision FROM pr JOIN wi ON wi.route='click' AND date>="start" AND date<"end") SELECT precision, count(*) AS numerator, (SELECT count(*) FROM inw) AS denominator, round(count(*)/(SELECT count(*) FROM inw),6) AS share FROM inw GROUP BY ALL""", "validations")
+@query("event_coverage", "A75", f"""WITH {PREC_SQL}, {WIN_SQL}, inw AS (SELECT DISTINCT pr.event_id, precision FROM pr JOIN (SELECT DISTINCT "start", "end" FROM wi) wi ON date>="start" AND date<"end") SELECT precision, count(*) AS numerator, (SELECT count(*) FROM inw) AS denominator, round(count(*)/(SELECT count(*) FROM inw),6) AS share FROM inw GROUP BY ALL""", "validations")
 def _(t):
     occ = X.classify_record(date_records(t), "UTC").withColumn("date", c("start_date").cast("date"))
-    return rounded_all(X.event_coverage(occ, windows(t).where("route = 'click'").select("start", "end")))
+    return rounded_all(X.event_coverage(occ, windows(t).select("start", "end").distinct()))
 
 
-@query("repeat_expansion", "F23", f"""WITH {WIN_SQL}, w AS (SELECT "start" AS s, "end" AS e FROM wi WHERE route='view'), r AS (SELECT event_id, date FROM validations WHERE k % 8=0) SELECT r.event_id, d.date, CAST(d.date AS TIMESTAMP) + INTERVAL 10 HOUR AS start_at, CAST(d.date AS TIMESTAMP) + INTERVAL 26 HOUR AS end_at FROM r JOIN (SELECT DISTINCT date FROM validations v JOIN w ON v.date>=s AND v.date<e UNION SELECT DISTINCT e-1 FROM w) d ON d.date>=r.date""", "validations")
+@query("repeat_expansion", "F23", f"""WITH {WIN_SQL}, w AS (SELECT DISTINCT "start" AS s, "end" AS e FROM wi), r AS (SELECT event_id, date FROM validations) SELECT r.event_id, d.date, CAST(d.date AS TIMESTAMP) + INTERVAL 10 HOUR AS start_at, CAST(d.date AS TIMESTAMP) + INTERVAL 26 HOUR AS end_at FROM r JOIN (SELECT DISTINCT date FROM validations v JOIN w ON v.date>=s AND v.date<e UNION SELECT DISTINCT e-1 FROM w) d ON d.date>=r.date""", "validations")
 def _(t):
-    rows = t.validations.where("k % 8 = 0").select("event_id", c("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit("10:00:00").alias("open_time"),
+    rows = t.validations.select("event_id", c("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit("10:00:00").alias("open_time"),
                                                    F.lit("02:00:00").alias("close_time"), F.array().cast("array<int>").alias("weekdays"))
-    return X.expand_repeats(rows, windows(t).where("route = 'view'").select("start", "end"))
+    return X.expand_repeats(rows, windows(t).select("start", "end").distinct())

@@ -50,17 +50,18 @@ def _(t):
     return V.latest_complete_runs(runs(t), run_points(t), ok)
 
 
-ESTIMATE_SQL = """pr AS (SELECT p_type AS route, p_size AS pid, DATE '2024-01-01' + CAST(p_size % 10 AS INT) AS vf, DATE '2024-01-01' + CAST(p_size % 10+ 12 AS INT) AS vt, p_size % 3 AS wm, count(*) AS cyc FROM part GROUP BY ALL),
- fit AS (SELECT route, d.date, pid, cyc FROM pr, (SELECT DISTINCT date FROM validations) d WHERE (isodow(d.date)-1+wm) % 4=0 AND d.date BETWEEN vf AND vt AND pid <= 12), one AS (SELECT route, date, min(pid) AS pid, min(cyc) AS cycle FROM fit GROUP BY ALL HAVING count(*)=1)"""
+ESTIMATE_SQL = """pr AS (SELECT p_type || '/' || p_brand || '/' || p_partkey//100 AS route, p_size AS pid, DATE '2024-01-01' + CAST(p_size * 3 % 10 AS INT) AS vf, DATE '2024-01-01' + CAST(p_size * 3 % 10 + 20 AS INT) AS vt, p_size % 3 AS wm, count(*) AS cyc FROM part GROUP BY ALL),
+ fit AS (SELECT route, d.date, pid, cyc FROM pr, (SELECT DISTINCT date FROM validations) d WHERE (isodow(d.date)-1+wm) % 4=0 AND d.date BETWEEN vf AND vt), one AS (SELECT route, date, min(pid) AS pid, min(cyc) AS cycle FROM fit GROUP BY ALL HAVING count(*)=1)"""
 
 
 @query("service_estimate", "J32", f"""WITH {ESTIMATE_SQL} SELECT a.route, a.date, a.cycle, list_transform(range(24), lambda h: (a.pid*7+h) % 5 + (CASE WHEN h<4 THEN (b.pid*7+h+24) % 5 ELSE 0 END)) AS departures FROM one a JOIN one b ON b.route=a.route AND b.date=a.date-1""", "validations")
 def _(t):
-    g = t.part.groupBy(c("p_type").alias("route"), c("p_size").alias("pid")).agg(F.count(F.lit(1)).alias("cycle")).where("pid <= 12")
+    route = F.concat_ws("/", "p_type", "p_brand", F.floor(c("p_partkey") / 100).cast("string"))
+    g = t.part.groupBy(route.alias("route"), c("p_size").alias("pid")).agg(F.count(F.lit(1)).alias("cycle"))
     days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda w: F.when((w + c("pid") % 3) % 4 == 0, w))
     starts = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda h: F.when(h < 28, (c("pid") * 7 + h) % 5).otherwise(0))
-    start = F.date_add(F.lit(date(2024, 1, 1)), (c("pid") % 10).cast("int"))
-    profiles = g.select("route", "cycle", F.array_compact(days).alias("weekdays"), starts.alias("starts"), start.alias("valid_from"), F.date_add(start, 12).alias("valid_to"))
+    start = F.date_add(F.lit(date(2024, 1, 1)), (c("pid") * 3 % 10).cast("int"))
+    profiles = g.select("route", "cycle", F.array_compact(days).alias("weekdays"), starts.alias("starts"), start.alias("valid_from"), F.date_add(start, 20).alias("valid_to"))
     return V.service_estimate(profiles, t.validations.select("date").distinct())
 
 
