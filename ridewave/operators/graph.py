@@ -144,33 +144,68 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state.join(ranked, "label").select("stop_id", "component", "size")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Cheapest directed path of every asked pair, or the reason there is none.
+def search_paths(edges: DataFrame, pairs: DataFrame, band: float | None = None) -> DataFrame:
+    """source, node, dist, hops, pred: the least label of the nodes that a search from each source had to reach.
 
-    All sources relax together; only improved states go on, until none improves.  ``parts`` is the
-    output of :func:`components`.
+    Labels are (length, number of edges); ``pred`` is the least node that gives the label, so paths are unique.  Each round
+    a source expands its open nodes within one band of distance (four mean edge lengths by default), corrected nodes again.
+    A source ends when no open node is nearer than its farthest asked target: nothing beyond is expanded.
     """
-    known = nodes.select("stop_id").distinct()
-    asked = pairs.select("source", "target").distinct()
-    starts = asked.select(c("source").alias("stop_id")).distinct().join(known, "stop_id", "left_semi")
-    best = reliable_checkpoint(starts.select(c("stop_id").alias("source"), c("stop_id").alias("node"), F.lit(0.0).alias("dist"),
-                                             F.array("stop_id").alias("path")))
-    frontier = best
-    steps = edges.select(c("source").alias("node"), c("target").alias("_to"), "length_m")
+    steps = reliable_checkpoint(edges.where("length_m IS NOT NULL").groupBy(c("source").alias("node"), c("target").alias("_to")).agg(F.min("length_m").alias("length_m")))
+    if band is None:
+        band = 4 * (steps.agg(F.avg("length_m")).first()[0] or 0.0)
+    wide = F.lit(float(band or 1.0))
+    asked = reliable_checkpoint(pairs.select("source", "target").distinct())
+    state = asked.select("source", c("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops")).distinct().withColumn(
+        "pred", F.lit(None).cast(dict(asked.dtypes)["source"])).withColumn("todo", F.lit(True))
     while True:
-        tried = frontier.join(steps, "node").select("source", c("_to").alias("node"), (c("dist") + c("length_m")).alias("dist"),
-                                                    F.concat("path", F.array("_to")).alias("path"))
-        least = tried.groupBy("source", "node").agg(F.min(F.struct("dist", "path")).alias("b")).select("source", "node", "b.*")
-        old = best.select("source", "node", c("dist").alias("_old"), c("path").alias("_path"))
-        better = reliable_checkpoint(least.join(old, ["source", "node"], "left").where(
-            c("_old").isNull() | (c("dist") < c("_old"))).select("source", "node", "dist", "path"))
-        if better.limit(1).count() == 0:
+        found = state.select("source", c("node").alias("target"), "dist")
+        limits = asked.join(found, ["source", "target"], "left").groupBy("source").agg(
+            F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist")).alias("_far"))
+        pending = state.where("todo").join(limits, "source").where(c("_far").isNull() | (c("dist") <= c("_far")))
+        near = pending.groupBy("source").agg(((F.floor(F.min("dist") / wide) + 1) * wide).alias("_band"))
+        active = reliable_checkpoint(pending.join(near, "source").where(c("dist") < c("_band")).drop("_far", "_band"))
+        if active.limit(1).count() == 0:
             break
-        kept = best.join(better.select("source", "node"), ["source", "node"], "left_anti")
-        best, frontier = reliable_checkpoint(kept.unionByName(better)), better
-    a = parts.select(c("stop_id").alias("source"), c("component").alias("_ca"))
-    b = parts.select(c("stop_id").alias("target"), c("component").alias("_cb"))
-    out = asked.join(a, "source", "left").join(b, "target", "left").join(best.withColumnRenamed("node", "target"), ["source", "target"], "left")
+        # rounded, so that equal sums of other orders stay equal
+        tried = active.join(steps, "node").select("source", c("_to").alias("node"), F.round(c("dist") + c("length_m"), 6).alias("dist"),
+                                                  (c("hops") + 1).alias("hops"), c("node").alias("pred"), F.lit(True).alias("todo"))
+        expanded = active.select("source", "node", F.lit(True).alias("_x"))
+        kept = state.join(expanded, ["source", "node"], "left").withColumn("todo", c("todo") & c("_x").isNull()).drop("_x")
+        state = reliable_checkpoint(kept.unionByName(tried).groupBy("source", "node").agg(
+            F.min(F.struct("dist", "hops", "pred")).alias("b"), F.min(F.struct("dist", "hops", "todo")).alias("t")).select(
+            "source", "node", "b.dist", "b.hops", "b.pred", "t.todo"))
+    return state.drop("todo")
+
+
+def path_nodes(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """source, target, hops, node: the nodes of each asked path, walked back over the predecessors of all paths together."""
+    rows = reliable_checkpoint(pairs.join(labels.select("source", c("node").alias("target"), "hops", "pred"), ["source", "target"]))
+    out = rows.select("source", "target", "hops", c("target").alias("node"))
+    back = labels.select("source", c("node").alias("pred"), c("pred").alias("_before"))
+    at = rows.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), "pred")
+    while at.limit(1).count():
+        at = reliable_checkpoint(at.join(back, ["source", "pred"]))
+        out = out.unionByName(at.select("source", "target", "hops", c("pred").alias("node")))
+        at = at.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), c("_before").alias("pred"))
+    return out
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: DataFrame, band: float | None = None) -> DataFrame:
+    """Cheapest directed path of every asked pair (of equal ones that of fewest edges), or the reason there is none.
+
+    ``parts`` is the output of :func:`components`; only pairs of known stops of one component are searched.
+    """
+    known = parts.join(nodes.select("stop_id").distinct(), "stop_id", "left_semi")
+    a = known.select(c("stop_id").alias("source"), c("component").alias("_ca"))
+    b = known.select(c("stop_id").alias("target"), c("component").alias("_cb"))
+    asked = reliable_checkpoint(pairs.select("source", "target").distinct().join(a, "source", "left").join(b, "target", "left"))
+    wanted = asked.where("_ca = _cb").select("source", "target")
+    labels = search_paths(edges, wanted, band)
+    length = labels.select("source", c("node").alias("target"), "dist")
+    track = path_nodes(labels, wanted).groupBy("source", "target").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("hops", "node"))), lambda s: s["node"]).alias("path"))
+    out = asked.join(length, ["source", "target"], "left").join(track, ["source", "target"], "left")
     reason = (F.when(c("_ca").isNull() | c("_cb").isNull(), "unknown_stop").when(c("_ca") != c("_cb"), "different_components")
               .when(c("dist").isNull(), "wrong_direction"))
     return out.select("source", "target", reason.alias("reason"), F.when(reason.isNull(), F.round("dist", 1)).alias("length_m"),

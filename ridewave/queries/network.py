@@ -42,7 +42,10 @@ def _(t):
     return G.shortest_path(t.stops, t.edges, pairs(t), parts(t)).drop("path")
 
 
-@query("path_routes", "G2")
+@query("path_routes", "G2", f"""WITH RECURSIVE {PAIR_SQL}, rp AS (SELECT source, node, path, row_number() OVER (PARTITION BY source, node ORDER BY round(dist,6), len(path), list_reverse(path)) AS i FROM pa),
+ lg AS (SELECT an.source, an.target, unnest(list_zip(rp.path[:-2], rp.path[2:])) AS leg FROM an JOIN rp ON rp.source=an.source AND rp.node=an.target AND i=1 WHERE reason IS NULL),
+ us AS (SELECT lg.source, lg.target, struct_extract(leg,1) AS a, struct_extract(leg,2) AS b, routes FROM lg JOIN edges e ON e.source=struct_extract(leg,1) AND e.target=struct_extract(leg,2))
+SELECT source, target, list_sort(list_distinct(flatten(list(routes)))) AS routes, count(*) AS legs FROM us GROUP BY ALL""", "edges stops")
 def _(t):
     return G.path_routes(G.shortest_path(t.stops, t.edges, pairs(t), parts(t)), t.edges)
 

@@ -486,3 +486,40 @@ def test_enrolment_by_segments_equals_every_pair(spark, name):
         assert (stable[i]["trips"], stable[i]["stable300"], stable[i]["stable900"]) == (len(found[0]), all(ok[:3]), all(ok))
     plan = M.enroll(events, spans)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(event_id" not in plan
+
+
+def test_cheapest_paths_equal_brute_force(spark):
+    rng = random.Random(8)
+    arcs = [(rng.randrange(18), rng.randrange(18), float(rng.choice((0, 1, 1, 2, 3)))) for _ in range(50)] + [(30, 31, 1.0), (31, 30, 1.0), (3, 4, None)]
+    arcs += arcs[:5]
+    pairs = [(a, b) for a in range(0, 18, 3) for b in range(18)] + [(30, 31), (0, 30), (0, 99), (99, 0)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(18), 30, 31]], "stop_id long").coalesce(1)
+    edges = spark.createDataFrame(arcs, "source long, target long, length_m double").coalesce(1)
+    parts = G.components(nodes, edges)
+    wanted = {}
+    for start in {a for a, _ in pairs}:
+        best = {start: (0.0, 0, (start,))}  # length, edges, nodes backwards
+        for _ in range(20):
+            for a, b, d in arcs:
+                if a in best and d is not None:
+                    label = (best[a][0] + d, best[a][1] + 1, (b, *best[a][2]))
+                    best[b] = min(best.get(b, label), label)
+        wanted |= {(start, b): (label[0], list(label[2][::-1])) for b, label in best.items()}
+    got = {(r["source"], r["target"]): r for r in G.shortest_path(nodes, edges, spark.createDataFrame(pairs, "source long, target long"), parts, 3.0).collect()}
+    assert set(got) == set(pairs)
+    part = {r["stop_id"]: r["component"] for r in parts.collect()}
+    for (a, b), r in got.items():
+        if a not in part or b not in part:
+            assert r["reason"] == "unknown_stop"
+        elif part[a] != part[b]:
+            assert r["reason"] == "different_components" and r["path"] is None
+        elif (a, b) not in wanted:
+            assert r["reason"] == "wrong_direction" and r["length_m"] is None
+        else:
+            assert (r["reason"], r["length_m"], r["path"]) == (None, *wanted[a, b])
+
+
+def test_cheapest_path_search_ends_at_its_targets(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "source long, target long, length_m double")
+    labels = G.search_paths(edges, spark.createDataFrame([(0, 2), (10, 10)], "source long, target long"), 1.0)
+    assert max(r["node"] for r in labels.where("source = 0").collect()) <= 3 and labels.where("source = 10").count() <= 2
