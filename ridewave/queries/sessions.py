@@ -155,6 +155,15 @@ def _(t):
     return rounded_all(S.synchrony(rows, FK, [10])).withColumn("devices10", c("devices10").cast("bigint"))
 
 
+@query("device_synchrony_days", "W16", """WITH ds AS (SELECT route, date, device, sec AS s, count(*) AS n FROM validations GROUP BY ALL), sp AS (SELECT route, date, device, min(s) AS t0, max(s) AS t1 FROM ds GROUP BY ALL),
+ pr AS (SELECT a.route, a.date, a.sec, d.device, greatest(coalesce(sum(n) FILTER (s < a.sec-80 OR s >= a.sec+80), 0)/greatest(greatest(least(300,a.sec-any_value(t0))-80,0)+greatest(least(300,any_value(t1)-a.sec)-80,0),1),1/600.0::DOUBLE) AS rate,
+   coalesce(bool_or(s>=a.sec AND s<a.sec+80), false) AS has FROM (SELECT DISTINCT route, date, sec FROM validations) a JOIN sp d ON d.route=a.route AND d.date=a.date LEFT JOIN ds ON ds.route=a.route AND ds.date=a.date AND ds.device=d.device AND s>=a.sec-300 AND s<a.sec+300 GROUP BY a.route, a.date, a.sec, d.device)
+SELECT route, date, sec, count(*) FILTER (has) AS devices80, CASE WHEN count(*) FILTER (has)<2 THEN -100.0::DOUBLE ELSE round((count(*) FILTER (has)-sum(1-exp(-rate*80)))/sqrt(greatest(sum((1-exp(-rate*80))*exp(-rate*80)),0.1)),6) END AS sync80 FROM pr GROUP BY ALL""", "validations")
+def _(t):
+    rows = t.validations.groupBy("route", "date", "device", "sec").agg(F.count(F.lit(1)).alias("n"))
+    return rounded_all(S.synchrony(rows, ["route", "date"], [80])).withColumn("devices80", c("devices80").cast("bigint"))
+
+
 @query("greedy_peaks", "W17")
 def _(t):
     scored = S.scan_scores(ft(t), FK).withColumn("w", F.lit(10))
