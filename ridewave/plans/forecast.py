@@ -15,9 +15,7 @@ from ridewave.functions.metrics import clip, half_life, rounded
 from ridewave.operators.evaluate import rank_models, score
 from ridewave.operators.joins import require
 from ridewave.operators.profiles import (
-    Calendar, assert_before, feature_frame, history_before, hour_shares, median_profile, recent, trend_ratio,
-    with_calendar,
-)
+    Calendar, assert_before, feature_frame, history_before, hour_shares, median_profile, recent, trend_ratio, trimmed_mean, with_calendar)
 
 c = F.col
 KEYS = ["route", "date", "hour"]
@@ -179,76 +177,99 @@ class Config:
     months: int = 0
 
 
+QUANTILES = {"median": 0.5, "q40": 0.4, "q60": 0.6}
+
+
+def _rule(k: Config) -> tuple[str, int, int, float]:
+    """What the level of a configuration depends on: configurations of one rule share its column."""
+    return k.statistic, k.window, k.months, float(k.half_life) if k.statistic in ("exp", "month_exp") else 0.0
+
+
+def _levels(rows: DataFrame, rules: Sequence[tuple[str, int, int, float]]) -> DataFrame:
+    """The cells of ``rows`` (origin, route, hour, k, v, age, month_age) with a column ``l<i>`` per rule.
+
+    All means and quantiles are conditional columns of one aggregate; quantiles hold value frequencies.  Monthly rules share
+    one further aggregate by month, trimmed ones take value frequencies once for each reach.
+    """
+    cell = ["origin", "route", "hour", "k"]
+
+    def seen(rule) -> Column:
+        statistic, window, months, _ = rule
+        ok = c("age") > 0
+        if window:
+            ok = ok & (c("age") <= window)
+        if months or statistic.startswith("month_"):
+            ok = ok & (c("month_age") > 0)
+        return ok & (c("month_age") <= months) if months else ok
+
+    plain, monthly, trimmed = [], [], []
+    for i, rule in enumerate(rules):
+        statistic, v = rule[0], F.when(seen(rule), c("v"))
+        if statistic == "trim10":
+            trimmed.append((i, rule))
+        elif statistic.startswith("month_"):
+            monthly.append((i, rule))
+        elif statistic in QUANTILES:
+            plain.append(F.percentile(v, F.lit(QUANTILES[statistic])).alias(f"l{i}"))
+        elif statistic == "exp":
+            weight = F.pow(F.lit(2.0), -c("age") / rule[3])
+            plain.append((F.sum(weight * v) / F.sum(F.when(v.isNotNull(), weight))).alias(f"l{i}"))
+        else:
+            plain.append(F.avg(v).alias(f"l{i}"))
+    out = rows.groupBy(*cell).agg(*(plain or [F.count(F.lit(1)).alias("_n")])).drop("_n")
+    if monthly:
+        means = rows.groupBy(*cell, "month_age").agg(*[F.avg(F.when(seen(rule), c("v"))).alias(f"m{i}") for i, rule in monthly])
+        weights = {i: F.pow(F.lit(2.0), -c("month_age") / rule[3]) if rule[3] else F.lit(1.0) for i, rule in monthly}
+        out = out.join(means.groupBy(*cell).agg(*[(F.sum(weights[i] * c(f"m{i}")) / F.sum(F.when(c(f"m{i}").isNotNull(), weights[i]))).alias(f"l{i}") for i, _ in monthly]), cell)
+    for i, rule in trimmed:
+        out = out.join(trimmed_mean(rows.where(seen(rule) & c("v").isNotNull()), cell, "v", 0.1, f"l{i}"), cell, "left")
+    return out
+
+
 def sweep(labels: DataFrame, origins: Sequence[date], configs: Sequence[Config], horizon: int,
           calendar: Calendar = Calendar()) -> DataFrame:
     """Predictions of every configuration at every origin, with truth, as one plan.
 
-    Each label row goes to the (origin, configuration) pairs that may see it; levels are
-    reduced per weekday and per day type and joined to the target days.  Groups are bounded by
-    the calendar: one route, hour and day category holds at most one value per day.
+    Label rows go to the origins that may see them, once per axis (weekday, day type, and both by season where a
+    configuration asks for it).  Configurations are columns of the cells, so scans, joins and shuffled rows do not
+    grow with them; they become rows only beside the target days.
     """
-    def literal(o: date, k: Config) -> Column:
-        return F.struct(F.lit(o).alias("origin"), F.lit(k.name).alias("model"), F.lit(k.statistic).alias("statistic"),
-                        F.lit(k.window).alias("window"), F.lit(float(k.half_life)).alias("half_life"),
-                        F.lit(k.seasonal).alias("seasonal"), F.lit(k.day_type_weight).alias("weight"),
-                        F.lit(k.correction).alias("correction"), F.lit(k.months).alias("months"))
-
-    pairs = F.array(*[literal(o, k) for o in origins for k in configs])
-    age = F.datediff("p.origin", "date")
-    month_age = (F.year("p.origin") - F.year("date")) * 12 + F.month("p.origin") - F.month("date")
-    by_month = (c("p.months") > 0) | c("p.statistic").startswith("month_")
-    seen = (age > 0) & ((c("p.window") == 0) | (age <= c("p.window"))) & (
-        ~by_month | ((month_age > 0) & ((c("p.months") == 0) | (month_age <= c("p.months")))))
-    rows = with_calendar(labels, calendar).withColumn("p", F.explode(pairs)).where(seen)
-    axes = F.filter(F.array(
-        F.struct(F.lit("dow").alias("axis"), c("dow").alias("member"), F.lit(-1).alias("part")),
-        F.struct(F.lit("type").alias("axis"), c("day_type").alias("member"), F.lit(-1).alias("part")),
-        F.struct(F.lit("dow").alias("axis"), c("dow").alias("member"), c("season").alias("part")),
-        F.struct(F.lit("type").alias("axis"), c("day_type").alias("member"), c("season").alias("part"))),
-        lambda a: (a["part"] < 0) | c("p.seasonal"))
-    keyed = rows.select("p.*", "route", "hour", F.explode(axes).alias("k"), c("boardings").cast("double").alias("v"),
-                        age.alias("age"), month_age.alias("month_age"))
-    weight = F.when(c("statistic") == "exp", F.pow(F.lit(2.0), -c("age") / c("half_life"))).otherwise(F.lit(1.0))
-    group = ["origin", "model", "statistic", "half_life", "route", "hour", "k"]
-    cells = keyed.groupBy(*group).agg(
-        (F.sum(weight * c("v")) / F.sum(weight)).alias("mean"),
-        F.percentile("v", F.array(F.lit(0.4), F.lit(0.5), F.lit(0.6))).alias("q"),
-        F.sort_array(F.collect_list("v")).alias("vs"))
-    monthly = keyed.where(c("statistic").startswith("month_")).groupBy(*group, "month_age").agg(F.avg("v").alias("m"))
-    mw = F.when(c("statistic") == "month_exp", F.pow(F.lit(2.0), -c("month_age") / c("half_life"))).otherwise(F.lit(1.0))
-    months = monthly.groupBy(*group).agg((F.sum(mw * c("m")) / F.sum(mw)).alias("by_month"))
-    cut = F.floor(F.size("vs") * 0.1).cast("int")
-    kept = F.slice("vs", cut + 1, F.size("vs") - 2 * cut)
-    trimmed = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept)
-    level = (F.when(c("statistic") == "median", F.get("q", F.lit(1))).when(c("statistic") == "q40", F.get("q", F.lit(0)))
-             .when(c("statistic") == "q60", F.get("q", F.lit(2))).when(c("statistic") == "trim10", trimmed)
-             .when(c("statistic").startswith("month_"), c("by_month")).otherwise(c("mean")))
-    levels = cells.join(months, group, "left").select("origin", "model", "route", "hour", "k.*", level.alias("level"))
+    rules = list(dict.fromkeys(_rule(k) for k in configs))
+    seasonal = any(k.seasonal for k in configs)
     wanted = F.array(*[F.lit(o) for o in origins])
+    age, month_age = F.datediff("origin", "date"), (F.year("origin") - F.year("date")) * 12 + F.month("origin") - F.month("date")
+    part = [F.lit(-1), c("season")] if seasonal else [F.lit(-1)]
+    axes = F.array(*[F.struct(F.lit(name).alias("axis"), c(member).alias("member"), s.alias("part"))
+                     for name, member in (("dow", "dow"), ("type", "day_type")) for s in part])
+    rows = with_calendar(labels, calendar).withColumn("origin", F.explode(F.filter(wanted, lambda o: c("date") < o))).select(
+        "origin", "route", "hour", F.explode(axes).alias("k"), c("boardings").cast("double").alias("v"), age.alias("age"), month_age.alias("month_age"))
+    levels = _levels(rows, rules).select("origin", "route", "hour", "k.*", F.array(*[c(f"l{i}") for i in range(len(rules))]).alias("_l"))
     target = with_calendar(labels, calendar).withColumn("origin", F.explode(F.filter(
         wanted, lambda o: (c("date") >= o) & (c("date") < F.date_add(o, horizon)))))
-    named = F.array(*[F.struct(F.lit(k.name).alias("model"), F.lit(k.day_type_weight).alias("weight"),
-                               F.lit(k.correction).alias("correction")) for k in configs])
-    target = target.withColumn("m", F.explode(named)).select("*", "m.*").drop("m")
     for axis, member in (("dow", "dow"), ("type", "day_type")):
-        plain = levels.where((c("axis") == axis) & (c("part") < 0)).select(
-            "origin", "model", "route", "hour", c("member").alias(member), c("level").alias(f"{axis}_plain"))
-        seasonal = levels.where((c("axis") == axis) & (c("part") >= 0)).select(
-            "origin", "model", "route", "hour", c("member").alias(member), c("part").alias("season"), c("level").alias(f"{axis}_season"))
-        target = target.join(plain, ["origin", "model", "route", "hour", member], "left").join(
-            seasonal, ["origin", "model", "route", "hour", member, "season"], "left")
-    w = F.when(c("exception") > 0, F.lit(1.0)).otherwise(c("weight"))
-    dow, kind = F.coalesce("dow_season", "dow_plain"), F.coalesce("type_season", "type_plain")
-    mixed = F.when(w == 0, dow).when(w == 1, kind).otherwise((1 - w) * dow + w * kind)
-    ages = F.datediff("origin", "date")
+        mine = levels.where(c("axis") == axis).drop("axis").withColumnRenamed("member", member)
+        target = target.join(mine.where("part < 0").drop("part").withColumnRenamed("_l", f"_{axis}"), ["origin", "route", "hour", member], "left")
+        if seasonal:
+            target = target.join(mine.where("part >= 0").select("origin", "route", "hour", member, c("part").alias("season"), c("_l").alias(f"_{axis}_season")),
+                                 ["origin", "route", "hour", member, "season"], "left")
+
+    def level(axis: str, k: Config) -> Column:
+        at = F.lit(rules.index(_rule(k)))
+        return F.coalesce(F.get(f"_{axis}_season", at), F.get(f"_{axis}", at)) if k.seasonal else F.get(f"_{axis}", at)
+
+    named = F.array(*[F.struct(F.lit(k.name).alias("model"), F.lit(float(k.day_type_weight)).alias("weight"), F.lit(float(k.correction)).alias("correction"),
+                               level("dow", k).alias("dow"), level("type", k).alias("kind")) for k in configs])
+    target = target.withColumn("m", F.explode(named))
+    w = F.when(c("exception") > 0, F.lit(1.0)).otherwise(c("m.weight"))
+    mixed = F.when(w == 0, c("m.dow")).when(w == 1, c("m.kind")).otherwise((1 - w) * c("m.dow") + w * c("m.kind"))
     past = labels.withColumn("origin", F.explode(F.filter(wanted, lambda o: (c("date") < o) & (c("date") >= F.date_sub(o, 42)))))
+    ages = F.datediff("origin", "date")
     ratios = past.groupBy("origin", "route").agg(
         F.avg(F.when(ages <= 14, c("boardings"))).alias("_a"), F.avg(F.when(ages > 14, c("boardings"))).alias("_b"))
     ratio = clip(F.coalesce(F.when(c("_b") > 0, c("_a") / c("_b")), F.lit(1.0)), 0.8, 1.2)
-    factor = F.lit(1.0) + c("correction") * (ratio - 1)
+    factor = F.lit(1.0) + c("m.correction") * (ratio - 1)
     return target.join(ratios, ["origin", "route"], "left").select(
-        "model", "origin", "route", "date", "hour", "boardings",
-        F.greatest(F.lit(0.0), mixed * factor).alias("prediction"))
+        c("m.model").alias("model"), "origin", "route", "date", "hour", "boardings", F.greatest(F.lit(0.0), mixed * factor).alias("prediction"))
 
 
 def window_means(labels: DataFrame, origins: Sequence[date], windows: Sequence[int], horizon: int, factor: float = 1.0) -> DataFrame:
