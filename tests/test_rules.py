@@ -1,7 +1,7 @@
 """Rules that no table comparison shows: brute force, leakage, conservation, restarts, refusals."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -19,7 +19,7 @@ from ridewave.operators import sessions as S
 from ridewave.operators import stops as ST
 from ridewave.plans import forecast as P
 from ridewave.plans import learned as L
-from ridewave.operators.profiles import feature_frame
+from ridewave.operators.profiles import feature_frame, with_calendar
 from ridewave.sources import events as E
 from ridewave.sources import timetable as T
 from ridewave.streaming import jobs
@@ -523,3 +523,104 @@ def test_cheapest_path_search_ends_at_its_targets(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "source long, target long, length_m double")
     labels = G.search_paths(edges, spark.createDataFrame([(0, 2), (10, 10)], "source long, target long"), 1.0)
     assert max(r["node"] for r in labels.where("source = 0").collect()) <= 3 and labels.where("source = 10").count() <= 2
+
+
+def test_sweep_equals_brute_force_with_seasons_months_and_windows(spark):
+    rng, first = random.Random(4), date(2024, 3, 1)
+    days = [first + timedelta(days=i) for i in range(150)]
+    labels = {(r, d): rng.randrange(60) for r in ("a", "b") for d in days if rng.random() > 0.05}
+    origins = [date(2024, 6, 20), date(2024, 7, 20)]
+    configs = [P.Config("w40", "mean", 40), P.Config("season", "median", seasonal=True), P.Config("trim", "trim10", 90, day_type_weight=1.0, seasonal=True),
+               P.Config("months", "month_exp", half_life=2.0, months=3, day_type_weight=0.25), P.Config("equal", "month_equal", seasonal=True),
+               P.Config("exp", "exp", half_life=9.0, correction=0.5), P.Config("low", "q40", 70), P.Config("mean2", "mean", months=2)]
+
+    def reduced(k, origin, seen):
+        def months(d):
+            return (origin.year - d.year) * 12 + origin.month - d.month
+        by_month = k.months or k.statistic.startswith("month_")
+        seen = sorted((v, d) for d, v in seen if d < origin and (not k.window or (origin - d).days <= k.window)
+                      and (not by_month or months(d) > 0) and (not k.months or months(d) <= k.months))
+        if not seen:
+            return None
+        v = [x for x, _ in seen]
+        if k.statistic in P.QUANTILES:
+            return float(np.quantile(v, P.QUANTILES[k.statistic]))
+        if k.statistic == "trim10":
+            cut = len(v) // 10
+            return float(np.mean(v[cut:len(v) - cut]))
+        if k.statistic == "exp":
+            return float(np.average(v, weights=[2.0 ** (-(origin - d).days / k.half_life) for _, d in seen]))
+        if k.statistic.startswith("month_"):
+            groups = {}
+            for x, d in seen:
+                groups.setdefault(months(d), []).append(x)
+            weights = [2.0 ** (-m / k.half_life) if k.statistic == "month_exp" else 1.0 for m in groups]
+            return float(np.average([np.mean(g) for g in groups.values()], weights=weights))
+        return float(np.mean(v))
+
+    calendar = spark.createDataFrame([(d,) for d in days], "date date")
+    plain = {r["date"]: r for r in with_calendar(calendar).collect()}
+
+    def kind(d):
+        return plain[d]["day_type"]
+
+    def warm(d):
+        return d.month in (6, 7, 8)
+
+    want = {}
+    for k in configs:
+        for o in origins:
+            for (r, d), _ in labels.items():
+                if not o <= d < o + timedelta(days=9):
+                    continue
+                level = []
+                for member in (date.weekday, kind):
+                    own = [(x, v) for (q, x), v in labels.items() if q == r and member(x) == member(d)]
+                    both = reduced(k, o, [(x, v) for x, v in own if warm(x) == warm(d)]) if k.seasonal else None
+                    level.append(reduced(k, o, own) if both is None else both)
+                w = 1.0 if plain[d]["exception"] else k.day_type_weight
+                mixed = level[0] if w == 0 else level[1] if w == 1 else (1 - w) * level[0] + w * level[1]
+                past = [(v, (o - x).days) for (q, x), v in labels.items() if q == r and 0 < (o - x).days <= 42]
+                new, old = np.mean([v for v, a in past if a <= 14]), np.mean([v for v, a in past if a > 14])
+                want[k.name, o, r, d] = max(0.0, mixed * (1 + k.correction * (min(max(new / old, 0.8), 1.2) - 1)))
+    table = spark.createDataFrame([(r, d, 7, v) for (r, d), v in labels.items()], "route string, date date, hour int, boardings int")
+    got = {(r["model"], r["origin"], r["route"], r["date"]): r["prediction"] for r in P.sweep(table, origins, configs, 9).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_ridge_by_sums_equals_least_squares(spark):
+    rng = np.random.default_rng(5)
+    data = [(k, *map(float, x), float(x @ [1, -2, 0.5] + shift + rng.normal())) for k, shift in (("a", 900.0), ("b", -3.0))
+            for x in rng.normal(size=(40, 3)) + 5] + [("c", 1.0, 2.0, 3.0, 8.0), ("a", 1.0, 1.0, 1.0, None)]
+    got = {r["key"]: r for r in L.ridge_fit(spark.createDataFrame(data, "key string, x double, y double, z double, t double"), ["key"], ["x", "y", "z"], "t", 2.0).collect()}
+    for key in "abc":
+        rows_of = np.array([r[1:] for r in data if r[0] == key and r[4] is not None])
+        x, y = rows_of[:, :3], rows_of[:, 3]
+        centred = np.vstack([x - x.mean(axis=0), np.sqrt(2.0) * np.eye(3)])
+        weights = np.linalg.lstsq(centred, np.concatenate([y - y.mean(), np.zeros(3)]), rcond=None)[0]
+        assert np.allclose(got[key]["weights"], weights) and np.isclose(got[key]["intercept"], y.mean() - x.mean(axis=0) @ weights)
+
+
+def test_synchrony_equals_pairs_of_seconds_and_devices(spark):
+    rng, scales = random.Random(6), (2, 10, 80)
+    data = [("hot" if rng.random() < 0.8 else "k", f"d{rng.randrange(6)}", 80000 + int(rng.choice((rng.random() * 2500, rng.gauss(700, 60)))), rng.randrange(1, 4)) for _ in range(220)]
+    merged = {}
+    for key, device, sec, n in [*data, ("one", "d", 5, 1)]:
+        merged[key, device, sec] = merged.get((key, device, sec), 0) + n
+    got = {(r["key"], r["sec"]): r for r in S.synchrony(spark.createDataFrame([(*k, n) for k, n in merged.items()], "key string, device string, sec bigint, n bigint"), ["key"], scales).collect()}
+    assert set(got) == {(k, s) for k, _, s in merged}
+    for (key, at), row in got.items():
+        devices = {}
+        for (k, d, s), n in merged.items():
+            if k == key:
+                devices.setdefault(d, []).append((s, n))
+        for w in scales:
+            seen, mean, var = 0, 0.0, 0.0
+            for marks in devices.values():
+                t0, t1 = min(marks)[0], max(marks)[0]
+                ring = sum(n for s, n in marks if -300 <= s - at < -80 or 80 <= s - at < 300)
+                exposure = max(min(300, at - t0) - 80, 0) + max(min(300, t1 - at) - 80, 0)
+                p = 1 - np.exp(-max(ring / max(exposure, 1), 1 / 600) * w)
+                seen, mean, var = seen + any(0 <= s - at < w for s, _ in marks), mean + p, var + p * (1 - p)
+            assert row[f"devices{w}"] == seen
+            assert abs(row[f"sync{w}"] - ((seen - mean) / max(var, 0.1) ** 0.5 if seen > 1 else -100)) < 1e-9
