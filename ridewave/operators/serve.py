@@ -268,8 +268,8 @@ def service_estimate(profiles: DataFrame, days: DataFrame) -> DataFrame:
     fit = valid.join(days.select("date").distinct(), "date", "left_semi")
     one = fit.groupBy("route", "date").agg(F.count(F.lit(1)).alias("_n"), F.first("starts").alias("starts"),
                                            F.first("cycle").alias("cycle")).where("_n = 1").drop("_n")
-    prior = one.select("route", F.date_add("date", 1).alias("date"), c("starts").alias("_late"))
-    both = one.join(prior, ["route", "date"])
+    day = Window.partitionBy("route").orderBy("date")  # one row a day; a join would collect the copied profiles to broadcast them
+    both = one.where("route IS NOT NULL").withColumn("_late", F.when(F.lag("date").over(day) == F.date_sub("date", 1), F.lag("starts").over(day))).where("_late IS NOT NULL")
     return both.select("route", "date", "cycle", F.zip_with(
         F.slice("starts", 1, 24), F.slice("_late", 25, 24), lambda a, b: a + F.coalesce(b, F.lit(0))).alias("departures"))
 

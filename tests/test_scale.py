@@ -1,8 +1,11 @@
 """Steps whose plans must not grow faster than their input, against plain Python on small rows."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from ridewave.operators import audits as A
+from ridewave.operators import serve as V
 
 
 def plan(df):
@@ -64,3 +67,26 @@ def test_guarded_shift_shares_one_loss_table(spark):
     a = {r.duty: r["shift"] for r in A.calibrate_shift(A.calibration_losses(e.where("half = 'a'"), k, ["duty"], SHIFTS), ["duty"]).collect()}
     for d in range(5):
         assert rows[d].gain == b[d, 0] - b[d, a[d]]
+
+
+def test_service_estimate_stays_off_the_driver(spark):
+    first = date(2024, 1, 1)
+    profiles = [(f"r{i % 7}", i, list(range(7))[: 3 + i % 5], [(i * h) % 6 for h in range(48)], first + timedelta(i % 4), first + timedelta(5 + i % 9)) for i in range(12)]
+    profiles += [("r1", 99, [0, 1], list(range(48)), first, first)]
+    days = [first + timedelta(i) for i in range(16) if i != 6]
+    df = spark.createDataFrame(profiles, "route string, cycle int, weekdays array<int>, starts array<int>, valid_from date, valid_to date")
+    # more copies than the size estimate sees
+    out = V.service_estimate(df, spark.createDataFrame([(d,) for d in days], "date date"))
+    assert plan(out).count("BroadcastHashJoin") <= 1  # the days alone
+
+    def one(route, d):
+        fit = [p for p in profiles if p[0] == route and p[4] <= d <= p[5] and d.weekday() in p[2] and d in days]
+        return fit[0] if len(fit) == 1 else None
+
+    want = {}
+    for route in {p[0] for p in profiles}:
+        for d in days:
+            now, before = one(route, d), one(route, d - timedelta(1))
+            if now and before:
+                want[route, d] = (now[1], [now[3][h] + (before[3][24 + h] if h < 24 else 0) for h in range(24)])
+    assert want and {(r.route, r.date): (r.cycle, r.departures) for r in out.collect()} == want
