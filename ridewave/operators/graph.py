@@ -123,17 +123,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours, then jumps to the label's own label, so
     the number of rounds grows with the logarithm of the diameter.  The state is cut with a
-    reliable checkpoint every round; a lost executor never replays the loop.
+    reliable checkpoint every round; a lost executor never replays the loop.  Rounds use merge
+    joins: tables broadcast in every round pile up on the driver.
     """
     both = edges.select(c("source").alias("a"), c("target").alias("b")).unionByName(edges.select(c("target").alias("a"), c("source").alias("b")))
     both = reliable_checkpoint(both.where("a <> b").distinct())
     state = reliable_checkpoint(nodes.select("stop_id", c("stop_id").alias("label")).distinct())
     while True:
-        near = both.join(state, both["b"] == state["stop_id"]).groupBy("a").agg(F.min("label").alias("_near"))
-        stepped = state.join(near, state["stop_id"] == near["a"], "left").select(
+        near = both.hint("merge").join(state, both["b"] == state["stop_id"]).groupBy("a").agg(F.min("label").alias("_near"))
+        stepped = state.hint("merge").join(near, state["stop_id"] == near["a"], "left").select(
             "stop_id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         hop = state.select(c("stop_id").alias("_new"), c("label").alias("_jump"))
-        following = reliable_checkpoint(stepped.join(hop, "_new", "left").select(
+        following = reliable_checkpoint(stepped.hint("merge").join(hop, "_new", "left").select(
             "stop_id", F.least("_new", F.coalesce("_jump", "_new")).alias("label"), (c("label") != F.least("_new", F.coalesce("_jump", "_new"))).alias("_moved")))
         state = following.select("stop_id", "label")
         if following.where("_moved").limit(1).count() == 0:
@@ -149,7 +150,8 @@ def search_paths(edges: DataFrame, pairs: DataFrame, band: float | None = None)
 
     Labels are (length, number of edges); ``pred`` is the least node that gives the label, so paths are unique.  Each round
     a source expands its open nodes within one band of distance (four mean edge lengths by default), corrected nodes again.
-    A source ends when no open node is nearer than its farthest asked target: nothing beyond is expanded.
+    A source ends when no open node is nearer than its farthest asked target: nothing beyond is expanded.  Rounds use merge
+    joins, so the driver holds nothing of them.
     """
     steps = reliable_checkpoint(edges.where("length_m IS NOT NULL").groupBy(c("source").alias("node"), c("target").alias("_to")).agg(F.min("length_m").alias("length_m")))
     if band is None:
@@ -160,18 +162,18 @@ def search_paths(edges: DataFrame, pairs: DataFrame, band: float | None = None)
         "pred", F.lit(None).cast(dict(asked.dtypes)["source"])).withColumn("todo", F.lit(True))
     while True:
         found = state.select("source", c("node").alias("target"), "dist")
-        limits = asked.join(found, ["source", "target"], "left").groupBy("source").agg(
+        limits = asked.hint("merge").join(found, ["source", "target"], "left").groupBy("source").agg(
             F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist")).alias("_far"))
-        pending = state.where("todo").join(limits, "source").where(c("_far").isNull() | (c("dist") <= c("_far")))
+        pending = state.where("todo").hint("merge").join(limits, "source").where(c("_far").isNull() | (c("dist") <= c("_far")))
         near = pending.groupBy("source").agg(((F.floor(F.min("dist") / wide) + 1) * wide).alias("_band"))
-        active = reliable_checkpoint(pending.join(near, "source").where(c("dist") < c("_band")).drop("_far", "_band"))
+        active = reliable_checkpoint(pending.hint("merge").join(near, "source").where(c("dist") < c("_band")).drop("_far", "_band"))
         if active.limit(1).count() == 0:
             break
         # rounded, so that equal sums of other orders stay equal
-        tried = active.join(steps, "node").select("source", c("_to").alias("node"), F.round(c("dist") + c("length_m"), 6).alias("dist"),
+        tried = active.hint("merge").join(steps, "node").select("source", c("_to").alias("node"), F.round(c("dist") + c("length_m"), 6).alias("dist"),
                                                   (c("hops") + 1).alias("hops"), c("node").alias("pred"), F.lit(True).alias("todo"))
         expanded = active.select("source", "node", F.lit(True).alias("_x"))
-        kept = state.join(expanded, ["source", "node"], "left").withColumn("todo", c("todo") & c("_x").isNull()).drop("_x")
+        kept = state.hint("merge").join(expanded, ["source", "node"], "left").withColumn("todo", c("todo") & c("_x").isNull()).drop("_x")
         state = reliable_checkpoint(kept.unionByName(tried).groupBy("source", "node").agg(
             F.min(F.struct("dist", "hops", "pred")).alias("b"), F.min(F.struct("dist", "hops", "todo")).alias("t")).select(
             "source", "node", "b.dist", "b.hops", "b.pred", "t.todo"))
@@ -180,12 +182,12 @@ def search_paths(edges: DataFrame, pairs: DataFrame, band: float | None = None)
 
 def path_nodes(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """source, target, hops, node: the nodes of each asked path, walked back over the predecessors of all paths together."""
-    rows = reliable_checkpoint(pairs.join(labels.select("source", c("node").alias("target"), "hops", "pred"), ["source", "target"]))
+    rows = reliable_checkpoint(pairs.hint("merge").join(labels.select("source", c("node").alias("target"), "hops", "pred"), ["source", "target"]))
     out = rows.select("source", "target", "hops", c("target").alias("node"))
     back = labels.select("source", c("node").alias("pred"), c("pred").alias("_before"))
     at = rows.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), "pred")
     while at.limit(1).count():
-        at = reliable_checkpoint(at.join(back, ["source", "pred"]))
+        at = reliable_checkpoint(at.hint("merge").join(back, ["source", "pred"]))
         out = out.unionByName(at.select("source", "target", "hops", c("pred").alias("node")))
         at = at.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), c("_before").alias("pred"))
     return out

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from ridewave.operators import audits as A
+from ridewave.operators import graph as G
 from ridewave.operators import serve as V
 
 
@@ -90,3 +91,27 @@ def test_service_estimate_stays_off_the_driver(spark):
             if now and before:
                 want[route, d] = (now[1], [now[3][h] + (before[3][24 + h] if h < 24 else 0) for h in range(24)])
     assert want and {(r.route, r.date): (r.cycle, r.departures) for r in out.collect()} == want
+
+
+def test_path_rounds_broadcast_nothing(spark, monkeypatch):
+    kept, cut = [], G.reliable_checkpoint
+
+    def watched(df):
+        kept.append(plan(df))
+        return cut(df)
+
+    monkeypatch.setattr(G, "reliable_checkpoint", watched)
+    legs = [(i, i + 1, 1.0) for i in range(6)] + [(0, 3, 2.5), (3, 0, 9.0), (10, 11, 1.0)]
+    edges = spark.createDataFrame([(a, b, x, ["A"]) for a, b, x in legs], "source bigint, target bigint, length_m double, routes array<string>")
+    nodes = spark.createDataFrame([(i,) for i in [*range(7), 10, 11]], "stop_id bigint")
+    parts = G.components(nodes, edges)
+    labels = G.search_paths(edges, spark.createDataFrame([(0, 6), (3, 1), (10, 11)], "source bigint, target bigint"), 2.0)
+    walked = G.path_nodes(labels, spark.createDataFrame([(0, 6), (3, 1)], "source bigint, target bigint")).collect()
+    assert {r.stop_id: r.component for r in parts.collect()} == {**dict.fromkeys(range(7), 0), 10: 1, 11: 1}
+    dist = {(r.source, r.node): r.dist for r in labels.collect()}
+    assert dist[0, 6] == 5.5 and dist[3, 1] == 10.0 and dist[10, 11] == 1.0
+    paths = {}
+    for r in sorted(walked, key=lambda r: (r.source, r.hops)):
+        paths.setdefault((r.source, r.target), []).append(r.node)
+    assert paths == {(0, 6): [0, 3, 4, 5, 6], (3, 1): [3, 0, 1]}
+    assert len(kept) > 6 and not [x for x in kept if "BroadcastExchange" in x]
