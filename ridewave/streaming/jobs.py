@@ -81,8 +81,9 @@ def stream_ingest(lines: DataFrame, check: Callable[[DataFrame], DataFrame], key
 
     ``check`` returns rows with ``problem``, the key, ``row_index`` and ``payload_hash``.  Two queries run in turn: the first checks each batch and
     writes its rows and its heads, one row an id, so an id that holds a third of all rows is combined before it moves; the second
-    brings the heads to the keyed state of :class:`FirstPayload`.  Both write a batch into a partition of its own that a replay
-    overwrites, so an interrupted ingest ends like an uninterrupted one.  ``keep`` (a time span) lets ids expire after it.
+    brings the heads to keyed state, a running least (batch, payload) an id.  Both write a batch into a partition of its own that a
+    replay overwrites, so an interrupted ingest ends like an uninterrupted one.  ``keep`` (a time span) lets ids expire after it;
+    such state is that of :class:`FirstPayload`, which asks for each id on its own.
     """
     spark = lines.sparkSession
 
@@ -97,13 +98,29 @@ def stream_ingest(lines: DataFrame, check: Callable[[DataFrame], DataFrame], key
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/known/state_batch={number}")
 
+    def save_first(batch: DataFrame, number: int) -> None:
+        path = f"{out}/first/state_batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        first = spark.read.schema(batch.schema).parquet(path)
+        before = spark.read.option("basePath", f"{out}/known").parquet(f"{out}/known").where(c("state_batch") < number).agg(
+            F.max("batch_id")).first()[0] if number else None
+        low, high = -1 if before is None else before, first.agg(F.max("last_batch")).first()[0]
+        came = [f"{out}/heads/{n}" for n in range(low + 1, (low if high is None else high) + 1)]  # each batch of rows has its folder
+        heads = spark.read.schema(head).parquet(*came) if came else spark.createDataFrame([], head)
+        save(heads.select("id", "batch_id").join(first, "id").select(
+            "id", "batch_id", c("first.payload_hash").alias("first_hash"), c("first.batch_id").alias("first_batch")), number)
+
+    head = "id string, payload_hash string, batch_id bigint"
     lines.writeStream.option("checkpointLocation", f"{checkpoint}/rows").trigger(availableNow=True).foreachBatch(stage).start().awaitTermination()
-    heads = spark.readStream.schema("id string, payload_hash string, batch_id bigint").parquet(f"{out}/heads/*")
-    known = heads.groupBy("id").transformWithStateInPandas(
-        FirstPayload(None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)), "id string, batch_id bigint, first_hash string, first_batch bigint",
-        "append", "none" if keep is None else "processingTime")
-    _with_state_store(spark, lambda: known.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/ids").trigger(
-        availableNow=True).foreachBatch(save).start()).awaitTermination()
+    heads = spark.readStream.schema(head).parquet(f"{out}/heads/*").groupBy("id")
+    if keep is None:
+        known, mode, put = heads.agg(F.min(F.struct("batch_id", "payload_hash")).alias("first"), F.max("batch_id").alias("last_batch")), "update", save_first
+    else:
+        known, mode, put = heads.transformWithStateInPandas(
+            FirstPayload(int(pd.Timedelta(keep).total_seconds() * 1000)), "id string, batch_id bigint, first_hash string, first_batch bigint",
+            "append", "processingTime"), "append", save
+    _with_state_store(spark, lambda: known.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/ids").trigger(
+        availableNow=True).foreachBatch(put).start()).awaitTermination()
 
 
 def ingest_rows(spark: SparkSession, out: str, key: str) -> DataFrame:

@@ -117,3 +117,25 @@ def test_path_rounds_broadcast_nothing(spark, monkeypatch):
         paths.setdefault((r.source, r.target), []).append(r.node)
     assert paths == {(0, 6): [0, 3, 4, 5, 6], (3, 1): [3, 0, 1]}
     assert len(kept) > 6 and not [x for x in kept if "BroadcastExchange" in x]
+
+
+def test_ingest_keeps_its_state_without_a_call_per_id(spark, tmp_path, monkeypatch):
+    from ridewave.streaming import jobs
+
+    def check(batch):
+        return batch.withColumn("problem", F.when(F.col("row_index") % 11 == 0, "odd")).withColumn("stream", F.lit("s"))
+
+    monkeypatch.setattr(jobs, "FirstPayload", None)  # one Python call an id was the whole time of the query
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    seen, want = {}, {"new": 0, "duplicate": 0, "conflict": 0, "rejected": 0}
+    for part in range(3):
+        rows = [(part * 200 + i, (part * 200 + i) * 7 % 90 if i % 13 else None, f"h{(part * 200 + i) % 3}") for i in range(200)]
+        spark.createDataFrame(rows, "row_index long, id long, payload_hash string").repartition(3).write.mode("append").parquet(src)
+        jobs.stream_ingest(spark.readStream.schema("row_index long, id long, payload_hash string").parquet(src), check, "id", out, out + "-cp")
+        for index, key, payload in rows:
+            if key is None or index % 11 == 0:
+                want["rejected"] += 1
+            else:
+                want["new" if key not in seen else "duplicate" if seen[key] == payload else "conflict"] += 1
+                seen.setdefault(key, payload)
+    assert {r.verdict: r["count"] for r in jobs.ingest_rows(spark, out, "id").groupBy("verdict").count().collect()} == want
