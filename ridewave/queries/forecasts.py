@@ -27,11 +27,11 @@ FEAT_SQL = f"""{EVENT_CALENDAR}, past AS (SELECT * FROM ec WHERE date < {EO}),
 
 
 def future(t):
-    return t.hourly_dense.where(c("date") >= F.lit(EVENT_ORIGIN)).select("route", "date", "hour")
+    return t.hourly_kept.where(c("date") >= F.lit(EVENT_ORIGIN)).select("route", "date", "hour")
 
 
 def features(t):
-    return feature_frame(t.hourly_dense, future(t), EVENT_ORIGIN, EVENT_CAL, SCALE)
+    return feature_frame(t.hourly_kept, future(t), EVENT_ORIGIN, EVENT_CAL, SCALE)
 
 
 def closed_form(name: str, ids: str, column: str, expr) -> None:

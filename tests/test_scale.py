@@ -129,7 +129,7 @@ def test_ingest_keeps_its_state_without_a_call_per_id(spark, tmp_path, monkeypat
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     seen, want = {}, {"new": 0, "duplicate": 0, "conflict": 0, "rejected": 0}
     for part in range(3):
-        rows = [(part * 200 + i, (part * 200 + i) * 7 % 90 if i % 13 else None, f"h{(part * 200 + i) % 3}") for i in range(200)]
+        rows = [(part * 200 + i, (part * 200 + i) * 7 % 90 if i % 13 else None, f"h{(part * 200 + i) % 4}") for i in range(200)]
         spark.createDataFrame(rows, "row_index long, id long, payload_hash string").repartition(3).write.mode("append").parquet(src)
         jobs.stream_ingest(spark.readStream.schema("row_index long, id long, payload_hash string").parquet(src), check, "id", out, out + "-cp")
         for index, key, payload in rows:
@@ -139,3 +139,17 @@ def test_ingest_keeps_its_state_without_a_call_per_id(spark, tmp_path, monkeypat
                 want["new" if key not in seen else "duplicate" if seen[key] == payload else "conflict"] += 1
                 seen.setdefault(key, payload)
     assert {r.verdict: r["count"] for r in jobs.ingest_rows(spark, out, "id").groupBy("verdict").count().collect()} == want
+
+
+def test_learned_forecasts_read_the_events_once(spark):
+    from ridewave.plans import learned as L
+    from ridewave.queries import learned as Q
+    from ridewave.queries import stops as QS
+    from ridewave.queries.base import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for made in (Q.past(t), Q.future(t), QS.targets(t), QS.features(t), Q.stop_rows(t)):
+        assert "events.parquet" not in plan(made)  # every join of theirs scanned all events again
+    assert sorted(map(tuple, t.hourly_kept.collect())) == sorted(map(tuple, t.hourly_dense.collect()))
+    train, _ = L._correction(Q.past(t), Q.EVENT_ORIGIN, Q.ORIGINS, 7, Q.EVENT_CAL, Q.SCALE)
+    assert "Join" not in plan(train) and "Exchange" not in plan(train)  # each round of the fit reported on all of it to the driver
