@@ -34,21 +34,26 @@ def assignment_at(events: DataFrame, assignments: DataFrame, key: str = "event_i
 
 def match_name(events: DataFrame, visits: DataFrame, key: str = "event_id") -> DataFrame:
     """Candidates by stop name on the event's own pattern: how many, and the one when single."""
-    names = visits.select("route_id", "direction_id", c("name").alias("stop_name"), c("stop_id").alias("_s")).distinct()
-    return events.join(names, ["route_id", "direction_id", "stop_name"]).groupBy(key).agg(
-        F.count(F.lit(1)).alias("candidates"), F.min("_s").alias("named_stop"), F.array_sort(F.collect_set("_s")).alias("named"))
+    one = ["route_id", "direction_id", "stop_name"]
+    # stops of one name meet before the events do: an event joins one row, however many stops share the name
+    names = visits.select("route_id", "direction_id", c("name").alias("stop_name"), c("stop_id").alias("_s")).distinct().groupBy(*one).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_least"), F.collect_set("_s").alias("_all"))
+    return events.join(names, one).groupBy(key).agg(F.sum("_n").alias("candidates"), F.min("_least").alias("named_stop"),
+                                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("_all")))).alias("named"))
 
 
 def match_geo(events: DataFrame, visits: DataFrame, tolerance: float, key: str = "event_id") -> DataFrame:
     """Pattern stops within a closed tolerance of the event, through grid cells."""
-    spots = visits.select("route_id", "direction_id", c("stop_id").alias("_s"), c("lat").alias("_lat"), c("lon").alias("_lon")).distinct()
+    # stops of one place, such as platforms, are as far from any event: places meet the events
+    spots = visits.select("route_id", "direction_id", c("stop_id").alias("_s"), c("lat").alias("_lat"), c("lon").alias("_lon")).distinct().groupBy(
+        "route_id", "direction_id", "_lat", "_lon").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_least"), F.collect_set("_s").alias("_all"))
     near = spots.withColumn("_cell", F.explode(cells_around(c("_lat"), c("_lon"), tolerance)))
     row, col = cell(c("latitude"), c("longitude"), tolerance)
     at = events.withColumn("_cell", F.struct(row.alias("row"), col.alias("col")))
     hit = at.join(near, ["route_id", "direction_id", "_cell"]).where(
         haversine(c("latitude"), c("longitude"), c("_lat"), c("_lon")) <= tolerance)
-    return hit.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.min("_s").alias("near_stop"),
-                                F.array_sort(F.collect_set("_s")).alias("near"))
+    return hit.groupBy(key).agg(F.sum("_n").alias("candidates"), F.min("_least").alias("near_stop"),
+                                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_all")))).alias("near"))
 
 
 def resolve_visit(events: DataFrame, visits: DataFrame, base: int = 0, key: str = "event_id") -> DataFrame:
