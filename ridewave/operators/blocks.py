@@ -111,11 +111,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     inner = Window.partitionBy(*keys, BLOCK).orderBy("_s", "_side", "_mark").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_seen", F.last("_mark", ignorenulls=True).over(inner))
-    tails = with_block(marks, "_s", block_seconds).groupBy(*keys, BLOCK).agg(
-        F.max("_mark").alias("_tail"))
-    slots = both.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     back = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = slots.join(tails, [*keys, BLOCK], "left").withColumn(
+    carry = both.groupBy(*keys, BLOCK).agg(F.max("_mark").alias("_tail")).withColumn(
         "_carry", F.last("_tail", ignorenulls=True).over(back)).drop("_tail")
     out = seen.where(F.col("_row").isNotNull()).join(carry, [*keys, BLOCK], "left")
     found = F.coalesce("_seen", "_carry")
@@ -124,18 +121,42 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
         *[F.col("_found.v_" + v).alias("right_" + v) for v in values])
 
 
+def met_marks(left: DataFrame, marks: DataFrame, keys: Sequence[str], left_second: str, at: str, sums: Sequence[str] = (),
+              near: Sequence[str] = (), block_seconds: int = 86400) -> DataFrame:
+    """What each left row meets among marks of its key, in one pass: totals of ``sums`` over the marks ``at`` or before its second
+    (0 when there are none), and of ``near`` (seconds like ``at``) the closest at or before, ``*_back``, and at or after, ``*_next``.
+
+    Rows and marks move once, and each input is read twice, however many kinds of marks there are.
+    """
+    held = marks.select(*keys, F.col(at).cast("bigint").alias("_s"), F.lit(0).alias("_side"), *sums, *near)
+    rows = left.select(*keys, F.col(left_second).cast("bigint").alias("_s"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    both = with_block(held.unionByName(rows, allowMissingColumns=True), "_s", block_seconds)
+    inner, across = Window.partitionBy(*keys, BLOCK), Window.partitionBy(*keys)
+    until = inner.orderBy("_s", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = inner.orderBy(F.desc("_s"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = across.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    after = across.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = [*[F.sum(x).over(until).alias("i_" + x) for x in sums], *[F.max(x).over(until).alias("i_" + x + "_back") for x in near],
+              *[F.min(x).over(since).alias("i_" + x + "_next") for x in near]]
+    seen = both.select(*keys, BLOCK, "_row", *inside).where(F.col("_row").isNotNull())
+    blocks = both.groupBy(*keys, BLOCK).agg(*[F.sum(x).alias(x) for x in sums], *[F.max(x).alias(x + "_back") for x in near],
+                                            *[F.min(x).alias(x + "_next") for x in near])
+    carry = blocks.select(*keys, BLOCK, *[F.sum(x).over(before).alias("c_" + x) for x in sums],
+                          *[F.max(x + "_back").over(before).alias("c_" + x + "_back") for x in near],
+                          *[F.min(x + "_next").over(after).alias("c_" + x + "_next") for x in near])
+    zero = F.lit(0)
+    return seen.join(carry, [*keys, BLOCK], "left").select(
+        "_row.*", *[(F.coalesce("i_" + x, zero) + F.coalesce("c_" + x, zero)).alias(x) for x in sums],
+        *[F.coalesce("i_" + x + side, "c_" + x + side).alias(x + side) for x in near for side in ("_back", "_next")])
+
+
 def nearest_distance(left: DataFrame, right: DataFrame, keys: Sequence[str], left_second: str,
                      right_second: str, name: str = "distance", block_seconds: int = 3600) -> DataFrame:
     """Distance to the closest earlier or later right clock of the key (NULL when it has none)."""
-    back = asof_backward(left, right, keys, left_second, right_second, [],
-                         block_seconds=block_seconds).withColumnRenamed("right_second", "_back")
-    flipped_left = back.withColumn("_neg", -F.col(left_second))
-    flipped_right = right.select(*keys, (-F.col(right_second)).alias("_negr"))
-    both = asof_backward(flipped_left, flipped_right, keys, "_neg", "_negr", [],
-                         block_seconds=block_seconds)
-    gap_back = F.col(left_second) - F.col("_back")
-    gap_next = -F.col("right_second") - F.col(left_second)
-    return both.withColumn(name, F.least(gap_back, gap_next)).select(*left.columns, name)
+    marks = right.select(*keys, F.col(right_second).alias("_clock"))
+    met = met_marks(left, marks, keys, left_second, "_clock", near=["_clock"], block_seconds=block_seconds)
+    gap = F.least(F.col(left_second) - F.col("_clock_back"), F.col("_clock_next") - F.col(left_second))
+    return met.withColumn(name, gap).select(*left.columns, name)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float],

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ridewave.operators import audits as A
 from ridewave.operators import graph as G
+from ridewave.operators import identity as N
+from ridewave.operators import mapping as M
 from ridewave.operators import serve as V
+from ridewave.operators import sessions as S
 
 
 def plan(df):
@@ -153,3 +156,62 @@ def test_learned_forecasts_read_the_events_once(spark):
     assert sorted(map(tuple, t.hourly_kept.collect())) == sorted(map(tuple, t.hourly_dense.collect()))
     train, _ = L._correction(Q.past(t), Q.EVENT_ORIGIN, Q.ORIGINS, 7, Q.EVENT_CAL, Q.SCALE)
     assert "Join" not in plan(train) and "Exchange" not in plan(train)  # each round of the fit reported on all of it to the driver
+
+
+def test_nearest_clocks_read_their_events_twice(spark):
+    events = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("duty"), (F.col("id") * 7919 % 200_000).alias("sec"))
+    clocks = spark.createDataFrame([(i % 3, i % 2, i * 9000) for i in range(20)], "duty bigint, direction int, clock bigint")
+    spans = spark.createDataFrame([(i % 3, i, i % 2, i * 9000, i * 9000 + 8000) for i in range(20)], "duty bigint, trip_id bigint, direction int, first_clock bigint, last_clock bigint")
+    # two nested as-ofs read them four times, five of them over thirty; events without a key are a reading of their own
+    assert plan(A.nearest_errors(events, clocks, ["duty"])).count("Range (") == 2
+    assert plan(A.clock_directions(events, spans, clocks, ["duty"])).count("Range (") <= 3
+
+
+def test_trip_windows_ask_once_for_both_neighbours(spark):
+    rows = [(i % 3 if i % 11 else None, i, (i * 7919) % 90_000) for i in range(60)]
+    rows = [(d, i, a, a + 300 + (i * 613) % 5000) for d, i, a in rows] + [(1, 500, 10_000, 10_000), (1, 500, 10_000, 10_000), (2, 501, 5, 9)]
+    spans = spark.createDataFrame(rows, "duty int, trip_id bigint, first_clock bigint, last_clock bigint")
+    out = M.trip_windows(spans)
+    assert plan(out).count("LocalTableScan") + plan(out).count("Scan ExistingRDD") <= 4
+    got = sorted((r["trip_id"], r["low"], r["high"]) for r in out.where("duty IS NOT NULL").collect())
+    want = []
+    for d, i, a, b in rows:
+        if d is not None:
+            ends, starts = [y for k, _, _, y in rows if k == d and y <= a], [x for k, _, x, _ in rows if k == d and x >= b]
+            want.append((i, max(a - 900, (a + max(ends)) / 2) if ends else a - 900, min(b + 900, (b + min(starts)) / 2) if starts else b + 900))
+    assert got == sorted(want)
+
+
+def test_enrolment_stability_copies_seconds_not_trips(spark):
+    rows = [(i % 4, i, i % 2, (i * 7919) % 60_000) for i in range(40)]
+    rows = [(*r, r[3] + 200 + (r[1] * 613) % 6000) for r in rows]
+    spans = spark.createDataFrame(rows, "duty int, trip_id bigint, direction int, first_clock bigint, last_clock bigint")
+    events = [(i % 5, (i * 373) % 66_000) for i in range(300)] + [(1, 9000), (1, 9000), (None, 5), (1, None)]
+    out = A.enroll_stability(spark.createDataFrame(events, "duty int, sec bigint"), spans, ["duty"])
+    assert "_shift" in plan(out)  # seconds ask at each shift; trips came once a shift in a table of their own
+    want = []
+    for d, s in events:
+        hits = [[x[2] for x in rows if d is not None and s is not None and x[0] == d and x[3] <= s + m <= x[4]] for m in (0, -300, 300, -900, 900)]
+        one = lambda part: all(len(h) == 1 for h in part) and len({h[0] for h in part}) == 1
+        want.append((d or -1, s or -1, len(hits[0]), one(hits[:3]), one(hits)))
+    got = [(r["duty"] or -1, r["sec"] or -1, r["trips"], r["stable300"], r["stable900"]) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_synchrony_moves_stretches_not_seconds(spark):
+    # devices with one payment in a crowded hour: each changes its rate in 440 of the paid seconds
+    rows = spark.range(2000).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("device"), (50_000 + F.col("id")).alias("sec"), F.lit(1).cast("bigint").alias("n"))
+    assert S._ring_stretches(rows, ["key"]).count() <= 2 * 2000
+    out = S.synchrony(rows, ["key"], [80])
+    assert "_ring" not in plan(out) and out.count() == 2000
+
+
+def test_names_and_places_meet_events_once(spark):
+    visits = spark.createDataFrame([("r", 0, f"N{i % 2}", i, 50.0 + i % 2, 10.0) for i in range(60)] + [("r", 0, "N1", 1, 51.0, 10.0)],
+                                   "route_id string, direction_id int, name string, stop_id bigint, lat double, lon double")
+    events = spark.createDataFrame([(1, "r", 0, "N1", 51.0, 10.0), (2, "r", 0, "N0", 50.0, 10.0), (3, "r", 1, "N0", 50.0, 10.0), (4, "r", 0, "N9", 0.0, 0.0)],
+                                   "event_id bigint, route_id string, direction_id int, stop_name string, latitude double, longitude double")
+    for out, least, every in ((N.match_name(events, visits), "named_stop", "named"), (N.match_geo(events, visits, 60.0), "near_stop", "near")):
+        assert {r["event_id"]: (r["candidates"], r[least], r[every]) for r in out.collect()} == {
+            1: (30, 1, list(range(1, 60, 2))), 2: (30, 0, list(range(0, 60, 2)))}
+        assert "sum(_n" in plan(out)  # an event joined every stop of its name or place
