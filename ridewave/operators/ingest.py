@@ -112,7 +112,8 @@ def check_fields(df: DataFrame, fields: Sequence[Field], keep: Sequence[str] = (
     for number, (bad, _, _) in enumerate(faults):
         ladder = ladder.when(bad, number)
     reasons = F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(d).alias("detail")) for _, r, d in faults])
-    numbered = typed.withColumn("_fault", ladder)
+    # a generator keeps later filters on the problem above the checks: below them every text and clock would be computed again for each check
+    numbered = typed.select("*", F.explode(F.array(ladder)).alias("_fault"))
     return numbered.select(*keep, *[f.name for f in fields],
                            F.when(F.col("_fault").isNotNull(), F.get(reasons, F.col("_fault"))).alias("problem"))
 

@@ -215,3 +215,17 @@ def test_names_and_places_meet_events_once(spark):
         assert {r["event_id"]: (r["candidates"], r[least], r[every]) for r in out.collect()} == {
             1: (30, 1, list(range(1, 60, 2))), 2: (30, 0, list(range(0, 60, 2)))}
         assert "sum(_n" in plan(out)  # an event joined every stop of its name or place
+
+
+def test_problem_filters_stay_above_the_checks(spark):
+    from ridewave.operators import ingest as I
+    fields = [I.Field("id", "identifier"), I.Field("at", "timestamp"), I.Field("n", "sequence")]
+    good, bad = ("a", "2024-01-01T10:00:00Z", "1"), [("a b", "2024-01-01T10:00:00Z", "1"), (None, None, None), ("a", "10:00", "x"), ("a", "2024-01-01T10:00:00Z", "x")]
+    checked = I.check_fields(spark.createDataFrame([good, *bad], "id string, at string, n string").repartition(2), fields)
+    right, wrong = checked.where("problem IS NULL"), checked.where("problem IS NOT NULL")
+    # a filter pushed below the checks computed each text and clock again for every check
+    for df in (right, wrong):
+        assert not [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "RLIKE" in line]
+    assert [r.id for r in right.collect()] == ["a"]
+    assert sorted(tuple(r.problem) for r in wrong.collect()) == [
+        ("invalid_timestamp", "at"), ("invalid_type", "n must be an integer"), ("invalid_value", "id is not a valid identifier"), ("missing_field", "id")]
