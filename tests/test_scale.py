@@ -229,3 +229,18 @@ def test_problem_filters_stay_above_the_checks(spark):
     assert [r.id for r in right.collect()] == ["a"]
     assert sorted(tuple(r.problem) for r in wrong.collect()) == [
         ("invalid_timestamp", "at"), ("invalid_type", "n must be an integer"), ("invalid_value", "id is not a valid identifier"), ("missing_field", "id")]
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Partitions grow with the table where a task sorted or hashed a fixed share of it; results stay."""
+    from ridewave.queries import base, load
+    sf = "/root/testdata/sf0.001"
+    for name in ("timetable_problems",):
+        run = load()[name].run
+        small = run(base.Tables(spark, sf))
+        monkeypatch.setattr(base, "PART_ROWS", 250)
+        cut = run(base.Tables(spark, sf))
+        monkeypatch.undo()
+        parts = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 250)
+        assert f", {parts}), REPARTITION_BY_NUM" in plan(cut) and "REPARTITION_BY_NUM" not in plan(small)
+        assert sorted(map(repr, cut.collect())) == sorted(map(repr, small.collect()))
