@@ -243,6 +243,7 @@ def _(t):
 SELECT trip_id, seq, round((degrees(atan2((x2-x1)*cos(radians((y1+y2)/2)), y2-y1))+360) % 360,4) AS bearing FROM g""", "stop_times stops")
 def _(t):
     rows = t.stop_times.join(t.stops, "stop_id").select("trip_id", "seq", (F.floor(c("lat") * 20) / 20).alias("lat"), (F.floor(c("lon") * 20) / 20).alias("lon"))
+    rows = t.spread(rows, "lineitem", "trip_id")
     return V.stop_bearings(rows, ["trip_id"], "seq").select("trip_id", "seq", rnd("bearing", 4).alias("bearing"))
 
 

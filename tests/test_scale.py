@@ -235,7 +235,7 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     """Partitions grow with the table where a task sorted or hashed a fixed share of it; results stay."""
     from ridewave.queries import base, load
     sf = "/root/testdata/sf0.001"
-    for name in ("timetable_problems",):
+    for name in ("timetable_problems", "stop_bearings"):
         run = load()[name].run
         small = run(base.Tables(spark, sf))
         monkeypatch.setattr(base, "PART_ROWS", 250)
