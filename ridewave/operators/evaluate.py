@@ -272,7 +272,8 @@ def canonical(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def validate_forecast(points: DataFrame, horizon: DataFrame, entity: Sequence[str], has_interval: bool) -> DataFrame:
     """Problems of a forecast artifact: repeated or misaligned buckets, incomplete horizons, bounds."""
     c = F.col
-    keyed = points.join(horizon.select("bucket", F.lit(True).alias("_known")), "bucket", "left")
+    # a horizon is bounded by its calendar; dealing points by bucket would put a day's points into one task
+    keyed = points.join(F.broadcast(horizon.select("bucket", F.lit(True).alias("_known"))), "bucket", "left")
     both = c("lower").isNotNull() & c("upper").isNotNull()
     one = c("lower").isNotNull() != c("upper").isNotNull()
     per = keyed.groupBy(*entity, "bucket").agg(

@@ -235,7 +235,7 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     """Partitions grow with the table where a task sorted or hashed a fixed share of it; results stay."""
     from ridewave.queries import base, load
     sf = "/root/testdata/sf0.001"
-    for name in ("timetable_problems", "stop_bearings"):
+    for name in ("timetable_problems", "stop_bearings", "forecast_artifact_check"):
         run = load()[name].run
         small = run(base.Tables(spark, sf))
         monkeypatch.setattr(base, "PART_ROWS", 250)
@@ -244,3 +244,16 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
         parts = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 250)
         assert f", {parts}), REPARTITION_BY_NUM" in plan(cut) and "REPARTITION_BY_NUM" not in plan(small)
         assert sorted(map(repr, cut.collect())) == sorted(map(repr, small.collect()))
+
+
+def test_forecast_points_are_not_dealt_by_bucket(spark):
+    from ridewave.operators import evaluate as E
+    pts = spark.range(40).selectExpr("CAST(id % 4 AS string) AS stop", "date_add(DATE '2024-01-01', CAST(id % 5 AS int)) AS bucket", "1.0 AS predicted", "0.0 AS lower", "2.0 AS upper")
+    horizon = spark.range(3).selectExpr("explode(array(date_add(DATE '2024-01-01', CAST(id AS int)))) AS bucket").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = E.validate_forecast(pts, horizon, ["stop"], True)
+        assert "SortMergeJoin" not in plan(out)
+        assert sorted(tuple(r) for r in out.collect()) == [(str(s), 5, 2, 0, 0, 0, 0) for s in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
