@@ -206,6 +206,21 @@ def test_synchrony_moves_stretches_not_seconds(spark):
     assert "_ring" not in plan(out) and out.count() == 2000
 
 
+def test_synchrony_lays_stretches_at_paid_seconds_only(spark, monkeypatch):
+    laid, real = [], S.scan_groups
+    monkeypatch.setattr(S, "scan_groups", lambda *a: laid.append(real(*a)) or laid[-1])
+    rows = spark.createDataFrame([(k, f"d{d}", 50_000 + 700 * i + 150 * d, 1) for k in "ab" for d in range(3) for i in range(9)] + [(None, "d", 60_000, 1), ("a", "d", None, 1)],
+                                 "key string, device string, sec bigint, n bigint")
+    out = S.synchrony(rows, ["key"], [80])
+    lines = plan(out).splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    sent = [i for i, x in enumerate(lines) if "BroadcastExchange" in x]
+    under = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in sent]
+    assert "MapInPandas" in plan(out) and not [x for i, j in zip(sent, under, strict=True) for x in lines[i:j] if "MapInPandas" in x]
+    paid = rows.where("key IS NOT NULL AND sec IS NOT NULL").select("key", "sec").distinct().count()
+    assert laid[0].count() == out.count() == paid == 54  # each stretch covered up to 220 seconds
+
+
 def test_names_and_places_meet_events_once(spark):
     visits = spark.createDataFrame([("r", 0, f"N{i % 2}", i, 50.0 + i % 2, 10.0) for i in range(60)] + [("r", 0, "N1", 1, 51.0, 10.0)],
                                    "route_id string, direction_id int, name string, stop_id bigint, lat double, lon double")
