@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import heappop, heappush
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -11,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridewave.functions.geo import haversine
+from ridewave.operators.scan import Arrays, scan_groups
 from ridewave.session import reliable_checkpoint
 
 c = F.col
+# Edges of a component that one task holds for a search at most, and sources it answers.
+PATH_EDGES, PATH_SOURCES = 250_000, 512
 
 
 def _problem(df: DataFrame, kind: str, entity: Column) -> DataFrame:
@@ -180,17 +187,117 @@ def search_paths(edges: DataFrame, pairs: DataFrame, band: float | None = None)
     return state.drop("todo")
 
 
+def _rounded(x: float) -> float:
+    """To six places, halves up, as Spark rounds."""
+    scaled = x * 1e6
+    if abs(scaled - math.floor(scaled) - 0.5) < 1e-3:
+        return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return round(x, 6)
+
+
+def _cheapest(near: dict[Any, list[tuple[Any, float]]], source: Any, targets: set) -> dict[Any, tuple[float, int, Any]]:
+    """node: least (length, number of edges, predecessor) of the nodes settled until all targets are; lengths are not negative."""
+    settled: dict[Any, tuple[float, int, Any]] = {}
+    best: dict[Any, tuple[float, int, Any]] = {}
+    left, heap = set(targets), [(0.0, 0, None, source)]
+    while heap and left:
+        dist, hops, pred, node = heappop(heap)
+        if node in settled:
+            continue
+        settled[node] = (dist, hops, pred)
+        left.discard(node)
+        for to, length in near.get(node, ()):
+            label = (_rounded(dist + length), hops + 1, node)
+            if to not in settled and (to not in best or label < best[to]):
+                best[to] = label
+                heappush(heap, (*label, to))
+    return settled
+
+
+def _search_groups(steps: DataFrame, wanted: DataFrame, groups: DataFrame) -> DataFrame:
+    """source, node, dist, hops, pred of the nodes on the asked paths: a group holds the edges of a component and some of its sources."""
+    none, kind = F.lit(None).cast("double"), dict(wanted.dtypes)["source"]
+    edges = steps.join(groups.hint("merge"), "component").withColumn("_chunk", F.explode(F.sequence(F.lit(0), c("chunks") - 1))).select(
+        "component", "_chunk", F.lit(0).alias("_asked"), "source", "target", c("length_m").cast("double").alias("length_m"))
+    pairs = wanted.join(groups.hint("merge"), "component").select(
+        "component", F.pmod(F.xxhash64("source"), c("chunks")).cast("int").alias("_chunk"), F.lit(1).alias("_asked"), "source", "target", none.alias("length_m"))
+
+    def search(g: Arrays) -> Arrays:
+        near: dict[Any, list[tuple[Any, float]]] = {}
+        asked: dict[Any, set] = {}
+        for to_ask, a, b, length in zip(g["_asked"].tolist(), g["source"].tolist(), g["target"].tolist(), g["length_m"].tolist(), strict=True):
+            if to_ask:
+                asked.setdefault(a, set()).add(b)
+            else:
+                near.setdefault(a, []).append((b, length))
+        out = []
+        for source, targets in asked.items():
+            settled = _cheapest(near, source, targets)
+            on_path: set = set()
+            for node in targets & settled.keys():
+                while node is not None and node not in on_path:
+                    on_path.add(node)
+                    node = settled[node][2]
+            out += [(source, node, *settled[node]) for node in on_path]
+        found = {}
+        for name, values in zip(("source", "node", "dist", "hops", "pred"), zip(*out, strict=True) if out else [()] * 5, strict=True):
+            found[name] = np.empty(len(out), object)
+            found[name][:] = values
+        return found
+
+    return scan_groups(edges.unionByName(pairs), ["component", "_chunk"], ["_asked", "source"], search,
+                       f"source {kind}, node {kind}, dist double, hops int, pred {kind}")
+
+
+def component_paths(edges: DataFrame, wanted: DataFrame, parts: DataFrame, band: float | None = None) -> DataFrame:
+    """Labels of the asked paths (source, target, component of both) as :func:`search_paths` gives them, on the paths at least.
+
+    A component of up to ``PATH_EDGES`` edges is searched in one pass, a group for each ``PATH_SOURCES`` or so of its sources;
+    rounds are left for larger components, and for those with an edge to an unknown stop, which may lead
+    elsewhere, or with an odd length.
+    """
+    part = parts.select("stop_id", "component")
+    a, b = part.select(c("stop_id").alias("source"), "component"), part.select(c("stop_id").alias("target"), c("component").alias("_cb"))
+    whole = "source IS NOT NULL AND target IS NOT NULL AND length_m IS NOT NULL"
+    steps = reliable_checkpoint(edges.where(whole).groupBy("source", "target").agg(F.min("length_m").alias("length_m")).join(
+        a.hint("merge"), "source", "left").join(b.hint("merge"), "target", "left"))
+    open_ = ~c("component").eqNullSafe(c("_cb")) | ~((c("length_m") >= 0) & (c("length_m") < 1e12))
+    sizes = steps.groupBy(F.coalesce("component", "_cb").alias("component")).agg(F.count(F.lit(1)).alias("_edges"), F.bool_or(open_).alias("_open"))
+    sources = wanted.groupBy("component").agg(F.ceil(F.count_distinct("source") / PATH_SOURCES).cast("int").alias("chunks"))
+    groups = reliable_checkpoint(sources.hint("merge").join(sizes, "component", "left").select(
+        "component", "chunks", ((F.coalesce("_edges", F.lit(0)) <= PATH_EDGES) & ~F.coalesce("_open", F.lit(False))).alias("_small")))
+    labels = _search_groups(steps, wanted, groups.where("_small").drop("_small"))
+    rest = groups.where("NOT _small").select("component")
+    if rest.limit(1).count():
+        labels = labels.unionByName(search_paths(edges, wanted.join(rest.hint("merge"), "component").select("source", "target"), band))
+    return reliable_checkpoint(labels)
+
+
 def path_nodes(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """source, target, hops, node: the nodes of each asked path, walked back over the predecessors of all paths together."""
-    rows = reliable_checkpoint(pairs.hint("merge").join(labels.select("source", c("node").alias("target"), "hops", "pred"), ["source", "target"]))
-    out = rows.select("source", "target", "hops", c("target").alias("node"))
-    back = labels.select("source", c("node").alias("pred"), c("pred").alias("_before"))
-    at = rows.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), "pred")
-    while at.limit(1).count():
-        at = reliable_checkpoint(at.hint("merge").join(back, ["source", "pred"]))
-        out = out.unionByName(at.select("source", "target", "hops", c("pred").alias("node")))
-        at = at.where("hops > 0").select("source", "target", (c("hops") - 1).alias("hops"), c("_before").alias("pred"))
-    return out
+    """source, target, hops, node: the nodes of each asked path, walked back over the predecessors of its source in a sorted scan."""
+    # a source has no predecessor; itself instead keeps the column free of nulls
+    held = labels.select("source", "node", F.coalesce("pred", "node").alias("pred"), "hops", F.lit(0).alias("_asked"))
+    asked = pairs.where("source IS NOT NULL AND target IS NOT NULL").select(
+        "source", c("target").alias("node"), c("target").alias("pred"), F.lit(0).alias("hops"), F.lit(1).alias("_asked"))
+
+    def walk(g: Arrays) -> Arrays:
+        cut = int(np.searchsorted(g["_asked"], 1))
+        known, before, target = g["node"][:cut], g["pred"][:cut], g["node"][cut:]
+        at = np.searchsorted(known, target)
+        met = at < cut
+        met[met] = known[at[met]] == target[met]
+        at, target = at[met], target[met]
+        hops = g["hops"][at]
+        out = [(target, hops, known[at])]
+        while len(at):
+            more = hops > 0
+            at, target, hops = np.searchsorted(known, before[at[more]]), target[more], hops[more] - 1
+            out.append((target, hops, known[at]))
+        found = {n: np.concatenate([x[i] for x in out]) for i, n in enumerate(("target", "hops", "node"))}
+        return {"source": np.repeat(g["source"][:1], len(found["node"]))} | found
+
+    kind = dict(pairs.dtypes)["source"]
+    return scan_groups(held.unionByName(asked), ["source"], ["_asked", "node"], walk, f"source {kind}, target {kind}, hops int, node {kind}")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: DataFrame, band: float | None = None) -> DataFrame:
@@ -202,8 +309,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, parts: D
     a = known.select(c("stop_id").alias("source"), c("component").alias("_ca"))
     b = known.select(c("stop_id").alias("target"), c("component").alias("_cb"))
     asked = reliable_checkpoint(pairs.select("source", "target").distinct().join(a, "source", "left").join(b, "target", "left"))
-    wanted = asked.where("_ca = _cb").select("source", "target")
-    labels = search_paths(edges, wanted, band)
+    wanted = asked.where("_ca = _cb").select("source", "target", c("_ca").alias("component"))
+    labels = component_paths(edges, wanted, known, band)
     length = labels.select("source", c("node").alias("target"), "dist")
     track = path_nodes(labels, wanted).groupBy("source", "target").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("hops", "node"))), lambda s: s["node"]).alias("path"))

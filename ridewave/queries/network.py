@@ -31,6 +31,15 @@ def pairs(t):
         s.where("source % 9 = 0").select("source", (c("source") + 100000).alias("target")))
 
 
+def legs(t):
+    """The edges, for plans that read them several times: each reading orders all stops of all trips."""
+    return t.once("edges", lambda: t.edges)
+
+
+def paths(t):
+    return G.shortest_path(t.stops, legs(t), pairs(t), G.components(t.stops, legs(t)))
+
+
 PAIR_SQL = f"""{CLOSE_SQL}, ins AS (SELECT * FROM (SELECT stop_id AS source, lead(stop_id) OVER (PARTITION BY nation ORDER BY stop_id) AS target FROM stops) WHERE target IS NOT NULL), pr AS (SELECT source, target FROM ins UNION SELECT target, source FROM ins UNION SELECT stop_id, stop_id+1 FROM stops WHERE stop_id % 5=0 UNION SELECT stop_id, stop_id+100000 FROM stops WHERE stop_id % 9=0),
  pa AS (SELECT stop_id AS source, stop_id AS node, 0.0::DOUBLE AS dist, [stop_id] AS path FROM stops UNION ALL SELECT pa.source, e.target, pa.dist+e.length_m, list_append(pa.path, e.target) FROM pa JOIN edges e ON e.source=pa.node WHERE NOT list_contains(pa.path, e.target)),
  be AS (SELECT source, node, min(dist) AS dist FROM pa GROUP BY ALL),
@@ -39,7 +48,7 @@ PAIR_SQL = f"""{CLOSE_SQL}, ins AS (SELECT * FROM (SELECT stop_id AS source, lea
 
 @query("shortest_paths", "G2", f"WITH RECURSIVE {PAIR_SQL} SELECT source, target, reason, CASE WHEN reason IS NULL THEN round(dist,1) END AS length_m FROM an", "edges stops")
 def _(t):
-    return G.shortest_path(t.stops, t.edges, pairs(t), parts(t)).drop("path")
+    return paths(t).drop("path")
 
 
 @query("path_routes", "G2", f"""WITH RECURSIVE {PAIR_SQL}, rp AS (SELECT source, node, path, row_number() OVER (PARTITION BY source, node ORDER BY round(dist,6), len(path), list_reverse(path)) AS i FROM pa),
@@ -47,7 +56,7 @@ def _(t):
  us AS (SELECT lg.source, lg.target, struct_extract(leg,1) AS a, struct_extract(leg,2) AS b, routes FROM lg JOIN edges e ON e.source=struct_extract(leg,1) AND e.target=struct_extract(leg,2))
 SELECT source, target, list_sort(list_distinct(flatten(list(routes)))) AS routes, count(*) AS legs FROM us GROUP BY ALL""", "edges stops")
 def _(t):
-    return G.path_routes(G.shortest_path(t.stops, t.edges, pairs(t), parts(t)), t.edges)
+    return G.path_routes(paths(t), legs(t))
 
 
 @query("route_index", "A49", f"""WITH RECURSIVE {CLOSE_SQL}, lg AS (SELECT source, target, length_m, unnest(routes) AS route FROM edges), tc AS (SELECT DISTINCT route, unnest([source, target]) AS stop_id FROM lg)

@@ -122,6 +122,58 @@ def test_path_rounds_broadcast_nothing(spark, monkeypatch):
     assert len(kept) > 6 and not [x for x in kept if "BroadcastExchange" in x]
 
 
+def paths_by_force(arcs, nodes, pairs):
+    """(length, path) of each pair among known nodes: least length, then edges, then nodes from the back."""
+    wanted = {}
+    for start in {a for a, _ in pairs if a in nodes}:
+        best = {start: (0.0, 0, (start,))}
+        for _ in range(30):
+            for a, b, d in arcs:
+                if a in best and d is not None:
+                    label = (round(best[a][0] + d, 6), best[a][1] + 1, (b, *best[a][2]))
+                    best[b] = min(best.get(b, label), label)
+        wanted |= {(start, b): (round(x[0], 1), list(x[2][::-1])) for b, x in best.items()}
+    return {p: wanted[p] for p in pairs if p in wanted}
+
+
+def test_paths_take_no_round_for_each_band_or_hop(spark, monkeypatch):
+    """A chain takes the steps of a single edge; components of too many edges, or open ones, give the same by rounds."""
+    kept, cut, rounds, search = [], G.reliable_checkpoint, [], G.search_paths
+    monkeypatch.setattr(G, "reliable_checkpoint", lambda df: kept.append(plan(df)) or cut(df))
+    monkeypatch.setattr(G, "search_paths", lambda e, p, band=None: rounds.append({r.source for r in p.collect()}) or search(e, p, band))
+    monkeypatch.setattr(G, "PATH_SOURCES", 2)
+    arcs = [(i, i + 1, 0.1) for i in range(9)] + [(3, 5, 0.2), (5, 3, 4.0), (2, 2, 0.0), (3, 5, None), (30, 31, 1.0), (31, 32, 1.0), (30, 32, 2.0)]
+    arcs += [(98, None, 1.0), (None, 31, 1.0)]
+    known = [*range(10), 30, 31, 32, 40, 41, 50]
+    pairs = [(0, 9), (9, 0), (1, 7), (30, 32), (50, 50), (0, 31), (7, 77)] + [(i, i) for i in range(6)]
+    ends = "source bigint, target bigint"
+    nodes = spark.createDataFrame([(i,) for i in known], "stop_id bigint").coalesce(1)
+    whole = spark.createDataFrame([x for x in [*arcs, (40, 41, 5.0)] if None not in x], f"{ends}, length_m double").coalesce(1)
+    parts = cut(G.components(nodes, whole))
+    edges = spark.createDataFrame(arcs, f"{ends}, length_m double").coalesce(1)
+
+    def found(arcs, pairs):
+        kept.clear(), rounds.clear()
+        out = G.shortest_path(nodes, arcs, spark.createDataFrame(pairs, ends).coalesce(1), parts, 0.5)
+        return {(r.source, r.target): (r.length_m, r.path) for r in out.collect() if r.reason is None}
+
+    want = paths_by_force([x for x in arcs if None not in x], known, pairs)
+    assert found(edges, pairs) == want and want[0, 9][0] == 0.9 and not rounds
+    assert len(kept) <= 5 and not [x for x in kept if "BroadcastExchange" in x]  # nine hops took a step each
+    # 99 is no stop, but leads on: what is found through it does not stay in a component
+    more = [*arcs, (40, 41, 5.0), (40, 99, 1.0), (99, 41, 1.0)]
+    monkeypatch.setattr(G, "PATH_EDGES", 3)
+    pairs = [(1, 4), (30, 32), (40, 41), (50, 50)]
+    got = found(spark.createDataFrame(more, f"{ends}, length_m double").coalesce(1), pairs)
+    assert got == paths_by_force([x for x in more if None not in x], known, pairs) and got[40, 41] == (2.0, [40, 99, 41]) and rounds == [{1, 40}]
+
+
+def test_path_lengths_round_like_spark(spark):
+    values = [0.1 + 0.2, 0.0000005, 1.0000015, 2.5, 123456.7890125, 1e11 + 0.1234565, 33.3333335, 7.0000004999]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", F.round("v", 6).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [G._rounded(v) for v in values]
+
+
 def test_ingest_keeps_its_state_without_a_call_per_id(spark, tmp_path, monkeypatch):
     from ridewave.streaming import jobs
 
