@@ -154,14 +154,20 @@ def catalog_features(rows: DataFrame, identity: Sequence[str]) -> DataFrame:
 
 
 def events_near_stops(points: DataFrame, stops: DataFrame, radius: float = 1000.0, keys: Sequence[str] = ("date", "hour")) -> DataFrame:
-    """Dated points of interest within the radius of each stop, counted per stop and hour."""
-    marks = stops.select("stop_id", c("lat").alias("_lat"), c("lon").alias("_lon")).withColumn(
+    """Dated points of interest within the radius of each stop, counted per stop and hour.
+
+    Stops of the same place (or places, where an id has several) meet the points as one and part again with the counts, so the
+    pairs of points and stops grow with places.
+    """
+    spots = stops.groupBy("stop_id", c("lat").alias("_lat"), c("lon").alias("_lon")).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = spots.groupBy("stop_id").agg(F.array_sort(F.collect_list(F.struct("_lat", "_lon", "_copies"))).alias("_places"))
+    marks = placed.select("_places").distinct().select("_places", F.inline("_places")).withColumn(
         "_cell", F.explode(cells_around(c("_lat"), c("_lon"), radius)))
     row, col = cell(c("lat"), c("lon"), radius)
     at = points.groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_cell", F.struct(row.alias("row"), col.alias("col")))
     hit = at.join(marks, "_cell").where(planar(c("lat"), c("lon"), c("_lat"), c("_lon")) <= radius)
-    return hit.groupBy("stop_id", *keys).agg(F.sum("_n").alias("events"))
+    return hit.groupBy("_places", *keys).agg(F.sum(c("_n") * c("_copies")).alias("events")).join(placed, "_places").select("stop_id", *keys, "events")
 
 
 def map_geometry(entities: DataFrame, stop_links: DataFrame, route_links: DataFrame, network: DataFrame, network_routes: DataFrame) -> DataFrame:

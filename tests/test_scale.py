@@ -1,5 +1,6 @@
 """Steps whose plans must not grow faster than their input, against plain Python on small rows."""
 
+import math
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -284,6 +285,28 @@ def test_names_and_places_meet_events_once(spark):
         assert "sum(_n" in plan(out)  # an event joined every stop of its name or place
 
 
+def test_points_meet_places_not_stops(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def flat(y, x, lat, lon):
+        met.add(1)
+        return None if None in (y, x, lat, lon) else math.hypot(lat - y, (lon - x) * math.cos(math.radians((lat + y) / 2))) * 111195.08
+
+    stops = [(i, 55.5 + i % 3 * 0.004, 37.3) for i in range(90)] + [(7, 55.504, 37.3), (7, 55.52, 37.3), (None, 55.5, 37.3), (None, 55.5, 37.3), (95, None, 37.3)]
+    points = [("d", i % 2, 55.5 + i * 0.002, 37.3 + i % 2 * 0.01) for i in range(12)] + [("d", 0, 55.5, 37.3), (None, 1, 55.5, 37.3), ("d", 0, None, 37.3)]
+    want = {}
+    for stop, lat, lon in stops:
+        for day, hour, y, x in points:
+            if None not in (lat, y) and flat(y, x, lat, lon) <= 1000:
+                want[stop, day, hour] = want.get((stop, day, hour), 0) + 1
+    monkeypatch.setattr(N, "planar", lambda *a: F.udf(flat, "double")(*a))
+    met.value = 0
+    rows = N.events_near_stops(spark.createDataFrame(points, "date string, hour int, lat double, lon double"),
+                               spark.createDataFrame(stops, "stop_id bigint, lat double, lon double"), 1000.0).collect()
+    assert {(r.stop_id, r.date, r.hour): r.events for r in rows} == want and len(rows) == len(want)
+    assert met.value <= 7 * 14  # seven places of five kinds of stop; 95 stops met their points one by one
+
+
 def test_problem_filters_stay_above_the_checks(spark):
     from ridewave.operators import ingest as I
     fields = [I.Field("id", "identifier"), I.Field("at", "timestamp"), I.Field("n", "sequence")]
