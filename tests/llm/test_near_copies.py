@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.fixtures import documents, passage
 
@@ -57,3 +59,20 @@ def test_template_below_the_similarity_makes_few_pairs(spark, monkeypatch):
         got = {r["doc_id"] for r in nc.keep_one_near(documents(spark, docs)).collect()}
         assert got == set(range(300)) | {1000, 1003}
         assert made["near-pairs"].count() < 300 and max(made["near-pieces"].selectExpr("size(hashes)").toPandas().iloc[:, 0]) <= 120
+
+
+def test_simhash_proposes_pairs_without_the_bands(spark, monkeypatch):
+    """With a bucket of its own for each text, the pairs that op4 links are compared, and those only."""
+    from ridewave.llm import near_copies as nc
+    from tests.llm.test_operators import simhash_by_force
+    monkeypatch.setattr(nc, "band_keys", lambda hashes, first: np.add.reduceat(hashes, first[:-1])[:, None] * np.arange(1, 25, dtype=np.uint64))
+    docs = [(i, passage(7000 + i, 500), "s") for i in range(24)]
+    docs += [(100 + i, f"{t} ende{i}", "s") for i, t, _ in docs[:12]] + [(200 + i, f"{t} {passage(7100 + i, 30)}", "s") for i, t, _ in docs[:12]]
+    # the words of a cycle repeat: one fingerprint, but less than the similarity
+    docs += [(300, "a b c d e f g " * 60, "s"), (301, "a b c d e f g " * 60 + passage(7300, 8), "s")]
+    prints = {i: simhash_by_force(t) for i, t, _ in docs}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    sets = {i: shingles_by_force(t) for i, t, _ in docs}
+    go = {b for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, docs), "").collect()}
+    assert len(go) >= 6 and (300, 301) in near and got == set(prints) - go
